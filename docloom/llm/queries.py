@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docloom.tables import read
 
-from . import groups
+from . import groups, mixing, pieces, tokens
 
 
 def p3_found(spark, sf_dir):
@@ -18,6 +18,26 @@ def p3_group_sizes(spark, sf_dir):
     return found.groupBy("group_id").agg(F.count(F.lit(1)).alias("members"), F.max("entity_id").alias("last_id"))
 
 
+def p4_found(spark, sf_dir):
+    return pieces.long_chunks(read(spark, sf_dir, "chunks"))
+
+
+def p4_pieces(spark, sf_dir):
+    return pieces.chunk_pieces(read(spark, sf_dir, "chunks"))
+
+
+def p6_ids(spark, sf_dir):
+    return tokens.encode(read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p7_chosen(spark, sf_dir):
+    return mixing.document_mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets"))
+
+
+def p7_shares(spark, sf_dir):
+    return mixing.mix_shares(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets"))
+
+
 _P3 = """
 with recursive e as (
   select distinct left_id a, right_id b from matches where same_entity and left_id <> right_id
@@ -26,9 +46,15 @@ reach(a, b) as (select a, a from e union select r.a, e.b from reach r join e on
 g as (select a as entity_id, min(b) as group_id from reach group by a)
 """
 
-QUERIES = {"p3_found": p3_found, "p3_group_sizes": p3_group_sizes}
+QUERIES = {q.__name__: q for q in (p3_found, p3_group_sizes, p4_found, p4_pieces, p6_ids, p7_chosen, p7_shares)}
+
+_P4 = r"""
+select id as chunk_id from chunks
+where length(trim(regexp_replace(regexp_replace(content, '\r\n?', chr(10), 'g'), '[ \t]+', ' ', 'g'), ' ' || chr(10))) > 900
+"""
 
 SQL = {
+    "p4_found": _P4,
     "p3_found": _P3 + "select entity_id, group_id from g",
     "p3_group_sizes": _P3 + "select group_id, count(*) as members, max(entity_id) as last_id from g group by group_id",
 }
