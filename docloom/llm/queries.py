@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docloom.tables import read
 
-from . import groups, mixing, pieces, tokens
+from . import abuse, groups, mixing, pieces, tokens
 
 
 def p3_found(spark, sf_dir):
@@ -38,6 +38,18 @@ def p7_shares(spark, sf_dir):
     return mixing.mix_shares(read(spark, sf_dir, "documents"), read(spark, sf_dir, "mix_targets"))
 
 
+def p8_found(spark, sf_dir):
+    return abuse.abusive_documents(read(spark, sf_dir, "documents"))
+
+
+def p8_scores(spark, sf_dir):
+    return abuse.scored(read(spark, sf_dir, "documents"))
+
+
+def p8_rates(spark, sf_dir):
+    return abuse.source_rates(read(spark, sf_dir, "documents"))
+
+
 _P3 = """
 with recursive e as (
   select distinct left_id a, right_id b from matches where same_entity and left_id <> right_id
@@ -46,7 +58,7 @@ reach(a, b) as (select a, a from e union select r.a, e.b from reach r join e on
 g as (select a as entity_id, min(b) as group_id from reach group by a)
 """
 
-QUERIES = {q.__name__: q for q in (p3_found, p3_group_sizes, p4_found, p4_pieces, p6_ids, p7_chosen, p7_shares)}
+QUERIES = {q.__name__: q for q in (p3_found, p3_group_sizes, p4_found, p4_pieces, p6_ids, p7_chosen, p7_shares, p8_found, p8_scores, p8_rates)}
 
 _P4 = r"""
 select id as chunk_id from chunks
