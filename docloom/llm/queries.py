@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docloom.tables import read
 
-from . import abuse, groups, mixing, pieces, tokens
+from . import abuse, groups, mixing, pieces, scans, tokens
 
 
 def p3_found(spark, sf_dir):
@@ -26,6 +26,14 @@ def p4_pieces(spark, sf_dir):
     return pieces.chunk_pieces(read(spark, sf_dir, "chunks"))
 
 
+def p5_found(spark, sf_dir):
+    return scans.defects(read(spark, sf_dir, "chunks"))
+
+
+def p5_text(spark, sf_dir):
+    return scans.repaired(read(spark, sf_dir, "chunks"))
+
+
 def p6_ids(spark, sf_dir):
     return tokens.encode(read(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -58,7 +66,7 @@ reach(a, b) as (select a, a from e union select r.a, e.b from reach r join e on
 g as (select a as entity_id, min(b) as group_id from reach group by a)
 """
 
-QUERIES = {q.__name__: q for q in (p3_found, p3_group_sizes, p4_found, p4_pieces, p6_ids, p7_chosen, p7_shares, p8_found, p8_scores, p8_rates)}
+QUERIES = {q.__name__: q for q in (p3_found, p3_group_sizes, p4_found, p4_pieces, p5_found, p5_text, p6_ids, p7_chosen, p7_shares, p8_found, p8_scores, p8_rates)}
 
 _P4 = r"""
 select id as chunk_id from chunks
