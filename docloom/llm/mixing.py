@@ -86,8 +86,9 @@ def draw(line: DataFrame, targets: DataFrame, key: str, source: str, size: str)
 
 
 def counted(documents: DataFrame, tokenizer: str = tokens.TOKENIZER) -> DataFrame:
-    """doc_id, source, n_tokens of every document."""
-    return tokens.count(documents.select("doc_id", "source", "text"), "text", "n_tokens", tokenizer)
+    """doc_id, source, n_tokens of every document, written once: the range partitioning reads it twice."""
+    rows = tokens.count(documents.select("doc_id", "source", "text"), "text", "n_tokens", tokenizer)
+    return Stage(documents.sparkSession, "counted").put(rows)
 
 
 def document_mix(documents: DataFrame, targets: DataFrame) -> DataFrame:
