@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docloom.tables import read
 
-from . import abuse, groups, mixing, names, pieces, scans, tokens
+from . import abuse, groups, mixing, names, nearest, pieces, scans, tokens
 
 
 def p1_found(spark, sf_dir):
@@ -17,6 +17,14 @@ def p1_clusters(spark, sf_dir):
     return names.clusters(read(spark, sf_dir, "entities"))
 
 
+def p2_found(spark, sf_dir):
+    return nearest.similar_pairs(read(spark, sf_dir, "chunks"))
+
+
+def p2_neighbours(spark, sf_dir):
+    return nearest.chunk_neighbours(read(spark, sf_dir, "chunks"))
+
+
 def p3_found(spark, sf_dir):
     return groups.match_groups(read(spark, sf_dir, "matches"))
 
@@ -74,7 +82,7 @@ reach(a, b) as (select a, a from e union select r.a, e.b from reach r join e on
 g as (select a as entity_id, min(b) as group_id from reach group by a)
 """
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_clusters, p3_found, p3_group_sizes, p4_found, p4_pieces, p5_found, p5_text, p6_ids, p7_chosen, p7_shares, p8_found, p8_scores, p8_rates)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_clusters, p2_found, p2_neighbours, p3_found, p3_group_sizes, p4_found, p4_pieces, p5_found, p5_text, p6_ids, p7_chosen, p7_shares, p8_found, p8_scores, p8_rates)}
 
 _P4 = r"""
 select id as chunk_id from chunks
