@@ -29,13 +29,13 @@ SAMPLE = 30_000
 #: Entries meant for a partition (before spreading), partitions a vector goes to, entries of a tile.
 PARTITION, SPREAD, TILE = 700, 4, 8192
 #: Candidates scored exactly for each query and partition.
-RERANK = 48
+RERANK = 96
 #: Inner products over this count for the score-aware loss.
 THRESHOLD = 0.2
 #: How far a scanned score may lie below the exact one where a least cosine is asked for.
 SLACK = 0.3
 
-_CODES, _WIDTH = 16, 4
+_CODES, _WIDTH = 16, 2
 
 
 class Index:
