@@ -198,7 +198,8 @@ def fit(table: DataFrame) -> dict[int, Index]:
     """An index for each dimension, fitted on the driver from a bounded sample."""
     out = {}
     for dim, n in sorted((r["dim"], r["n"]) for r in table.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()):
-        drawn = table.where(F.col("dim") == dim).select("v", F.xxhash64("v").alias("_h")).orderBy("_h").limit(SAMPLE).select("v").collect()
+        share = -(-SAMPLE * 2**20 // n)
+        drawn = table.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("v"), F.lit(2**20)) < share)).select("v").collect()
         out[dim] = Index(_array([r.v for r in drawn], dim), n)
     return out
 
