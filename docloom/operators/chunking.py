@@ -74,6 +74,8 @@ def chunk(df: DataFrame, text: str, keep: list[str], size: int = 900, overlap: i
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             parts = [pack(t, size, overlap) for t in batch.pop("_text")]
+            if not any(parts):
+                continue
             out = batch.loc[batch.index.repeat([len(p) for p in parts])].reset_index(drop=True)
             out["chunk_index"] = [i for p in parts for i in range(len(p))]
             out["content"] = [c for p in parts for c in p]

@@ -151,8 +151,9 @@ def read_sections(spark: SparkSession, path: str, max_bytes: int = 50 << 20, pag
                     rows += [(where, name, digest, p, t, None) for p, t in sections(name, raw, page_reader)]
                 except Exception as e:  # noqa: BLE001 - one bad file must not end the batch
                     rows.append((where, name, digest, None, None, f"{type(e).__name__}: {e}"[:1000]))
-            out = pd.DataFrame(rows, columns=["path", "filename", "sha256", "page_number", "text", "error"])
-            yield out.astype({"page_number": "Int32"})
+            if rows:
+                out = pd.DataFrame(rows, columns=["path", "filename", "sha256", "page_number", "text", "error"])
+                yield out.astype({"page_number": "Int32"})
 
     return data.mapInPandas(run, SCHEMA)
 
