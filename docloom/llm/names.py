@@ -495,7 +495,8 @@ def forms(entities: DataFrame) -> DataFrame:
                 order = p["tokens"] if p["kind"] != "person" else sorted(p["tokens"])
                 form = "|".join([p["kind"], p["numbers"], p["more"], " ".join(order), " ".join(p["facts"])])
                 rows.append((kb, i, form, keys, seek, surname_keys(p), json.dumps(p, ensure_ascii=False)))
-            yield pd.DataFrame(rows, columns=["kb_id", "id", "form", "keys", "seek", "surname", "p"])
+            if rows:
+                yield pd.DataFrame(rows, columns=["kb_id", "id", "form", "keys", "seek", "surname", "p"])
 
     data = entities.where(F.col("kb_id").isNotNull() & F.col("id").isNotNull()).select("kb_id", "id", F.coalesce("name", "normalized_name").alias("name"), "description")
     return data.mapInPandas(run, _FORM)

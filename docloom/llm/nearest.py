@@ -221,6 +221,8 @@ def nearest(rows: DataFrame, key: str, vector: str, k: int = 10, least: float |
     def route(batches):
         for batch in batches:
             for dim, part in batch.groupby("dim"):
+                if not len(part):
+                    continue
                 to = models[dim].assign(_array(part["v"], dim))
                 at = np.repeat(np.arange(len(part)), to.shape[1])
                 yield pd.DataFrame({"dim": dim, "part": to.ravel().astype(np.int32), "n": part["rep"].to_numpy()[at], "v": part["v"].to_numpy()[at]})
@@ -241,7 +243,7 @@ def nearest(rows: DataFrame, key: str, vector: str, k: int = 10, least: float |
     def scan(group, data):
         dim, part, _ = group
         found = models[dim].search(part, data["n"].to_numpy(), _array(data["v"], dim), data["entry"].to_numpy(), k, least)
-        return pd.DataFrame(found, columns=["n", "near", "cosine"])
+        return pd.DataFrame(found, columns=["n", "near", "cosine"]).astype({"n": "int64"})
 
     hits = routed.groupBy("dim", "part", "tile").applyInPandas(scan, "n long, near array<long>, cosine array<double>")
     # a partition's answers to a query are merged as arrays, k long each
