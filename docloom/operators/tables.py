@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 
+from .ranking import numbered
+
 #: Extensions that can be read, by reader (fixed values).
 READERS = {"txt": "text", "md": "text", "markdown": "text", "csv": "csv", "json": "json", "html": "html", "htm": "html", "pdf": "pdf", "docx": "docx", "pptx": "pptx", "xlsx": "xlsx"}
 IMAGES = ("png", "jpg", "jpeg", "webp", "bmp", "tif", "tiff")
@@ -39,8 +41,9 @@ def searchable(chunks: DataFrame, documents: DataFrame) -> DataFrame:
 def graph_order(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """kb_id, chunk_id, position: chunks of ready documents in reading order, from 0 in each base."""
     rows = with_documents(chunks, documents).where(F.col("status") == "ready")
-    order = Window.partitionBy("kb_id").orderBy("document_created_at", "document_id", "chunk_index", "id")
-    return rows.select("kb_id", F.col("id").alias("chunk_id"), (F.row_number().over(order) - 1).cast("long").alias("position"))
+    rows = rows.select("kb_id", F.col("id").alias("chunk_id"), "document_created_at", "document_id", "chunk_index")
+    order = [F.col(c) for c in ("document_created_at", "document_id", "chunk_index", "chunk_id")]
+    return numbered(rows, "kb_id", order, "position").select("kb_id", "chunk_id", "position")
 
 
 def base_counts(bases: DataFrame, **tables: DataFrame) -> DataFrame:

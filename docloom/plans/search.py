@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docloom.operators import retrieval as R
+from docloom.operators.ranking import numbered
 from docloom.tables import read
 
 from .base import query
@@ -134,12 +135,10 @@ u as (select conversation, turn, role, substr(content, 1, 6000) c, coalesce(sum(
 select conversation, turn, role, md5(substr(c, 1, (24000 - used)::bigint)) as hash, length(substr(c, 1, (24000 - used)::bigint)) as size from u where used < 24000""")
 def history_window(spark, sf_dir):
     """The prompt's history; a base's documents in order stand for the turns of a talk."""
-    from pyspark.sql import Window
-
     d = read(spark, sf_dir, "documents")
     role = F.when(F.col("doc_id") % 3 == 0, "user").when(F.col("doc_id") % 3 == 1, "assistant").otherwise("system")
-    turn = F.row_number().over(Window.partitionBy("kb_id").orderBy("created_at", "doc_id")).cast("long")
-    turns = d.select(F.col("kb_id").alias("conversation"), turn.alias("turn"), role.alias("role"), F.col("text").alias("content"))
+    place = numbered(d.select("kb_id", "doc_id", "created_at"), "kb_id", [F.col("created_at"), F.col("doc_id")], "place").select("doc_id", "place")
+    turns = d.join(place, "doc_id").select(F.col("kb_id").alias("conversation"), (F.col("place") + 1).alias("turn"), role.alias("role"), F.col("text").alias("content"))
     return R.history(turns).select("conversation", "turn", "role", F.md5("content").alias("hash"), F.length("content").cast("long").alias("size"))
 
 

@@ -160,6 +160,19 @@ def test_batch_top_k_blocks(spark):
             assert [got[i, k + 1] for k in range(5)] == [j for _, j in best]
 
 
+def test_numbered_hot_group(spark):
+    from docloom.operators.ranking import numbered
+
+    rows = [(None if i % 7 == 0 else "hot" if i % 3 else f"g{i % 5}", i * 7919 % 1009, i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "g string, o int, i int")
+    got = {r.i: r.n for r in numbered(df, "g", [F.col("o"), F.col("i")], "n").collect()}
+    want, seen = {}, {}
+    for g, o, i in sorted(rows, key=lambda r: (r[0] or "", r[1], r[2])):
+        want[i] = seen.get(g, 0)
+        seen[g] = want[i] + 1
+    assert got == want and numbered(df.limit(0), "g", [F.col("o")], "n").count() == 0
+
+
 def test_search_modes(spark):
     with pytest.raises(ValueError):
         retrieval.search("other", None, None, None, None, None)
