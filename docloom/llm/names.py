@@ -202,7 +202,7 @@ def _parse_latin(base: str, inner: list[str], out: dict) -> dict:
     tokens, short, generation, titled, acronym = [], [], "", False, ""
     for x in [*raw, *extra]:
         w = fold(x.strip("."))
-        if not w or w in _SMALL:
+        if not w or w in _SMALL and (len(w) > 1 or x.islower()):
             continue
         if w in _GENERATION and len(tokens) >= 1:
             generation = _GENERATION[w]
@@ -279,7 +279,7 @@ def block_keys(p: dict) -> tuple[list[str], list[str]]:
     """(keys of the form, keys by which a form that fits too much looks for the others)."""
     n, tokens, kind = p["numbers"], p["tokens"], p["kind"]
     if kind == "thing":
-        code = phonetic("".join(tokens)) if not _HAN.search(tokens[0] if tokens else "") else tokens[0]
+        code = phonetic("".join(w.removesuffix("s") for w in tokens)) if not _HAN.search(tokens[0] if tokens else "") else tokens[0]
         return [f"t{n}:{c}" for c in {code, *_less_one(code)}], []
     if kind == "han_org":
         t = tokens[0]
@@ -294,10 +294,8 @@ def block_keys(p: dict) -> tuple[list[str], list[str]]:
         keys = set()
         for w in tokens:
             if len(w.rstrip(".")) >= 5:
-                rest = sorted(x[0] for x in tokens if x is not w)
-                if p["more"].startswith("~"):
-                    rest = sorted(p["more"][1:-1])
-                keys |= {f"g:{c}:{''.join(rest[:1])}" for c in _less_one(phonetic(w.rstrip(".")))}
+                rest = {*p["more"][1:]} if p["more"].startswith("~") else {x[0] for x in tokens if x is not w} or {""}
+                keys |= {f"g:{c}:{x}" for c in _less_one(phonetic(w.rstrip("."))) for x in rest}
         return sorted(keys), []
     full = [w for w in tokens if len(w) > 1]
     if len(full) >= 2:
@@ -334,7 +332,9 @@ def surname_keys(p: dict) -> list[str]:
 
 
 def _word(a: str, b: str) -> float:
-    """Likeness of two words; an abbreviation with a point is like the word it begins."""
+    """Likeness of two words; an abbreviation with a point is like the word it begins.
+
+    More than a slip apart, words are never as like as 0.9."""
     if a == b:
         return 1.0
     x, y = a.rstrip("."), b.rstrip(".")
@@ -342,7 +342,7 @@ def _word(a: str, b: str) -> float:
         return 0.95
     if min(len(x), len(y)) >= 4 and (one_edit(x, y) or phonetic(x) == phonetic(y)):
         return max(0.92, jaro_winkler(x, y))
-    return jaro_winkler(x, y)
+    return min(0.89, jaro_winkler(x, y))
 
 
 def _paired(a: list[str], b: list[str]) -> tuple[float, list[str], list[str]]:
@@ -449,7 +449,7 @@ def _same_org(a: dict, b: dict, said: int) -> int:
     if a["more"] != b["more"]:
         return 0
     least, rest_x, rest_y = _paired(a["tokens"], b["tokens"])
-    if least >= 0.88 and not rest_x and not rest_y:
+    if least >= (0.86 if said > 0 else 0.9) and not rest_x and not rest_y:
         return 2
     x, y = "".join(a["tokens"]), "".join(b["tokens"])
     return 2 if len(a["tokens"]) != len(b["tokens"]) and min(len(x), len(y)) >= 10 and (one_edit(x, y) or jaro_winkler(x, y) >= 0.97) else 0
