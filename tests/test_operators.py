@@ -220,3 +220,23 @@ def test_exports(spark, tmp_path):
     assert lines.svg(nodes, edges).count() == 3 and lines.gexf(nodes, edges).count() == 3
     lines.write(lines.graphml(nodes, edges), str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).count() == 3
+
+
+def test_ingest(spark, tmp_path):
+    from docloom.functions.embedding import hashed_words, missing
+    from docloom.operators import ingest
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("First sentence. " * 200)
+    (tmp_path / "in" / "b.json").write_text("{")
+    docs, chunks = ingest.ingest(spark, str(tmp_path / "in"), "k1")
+    assert {(r.filename, r.status) for r in docs.collect()} == {("a.txt", "ready"), ("b.json", "error")}
+    rows = chunks.collect()
+    assert len(rows) > 3 and len({r.id for r in rows}) == len(rows) and all(abs(sum(x * x for x in r.embedding) - 1) < 1e-5 for r in rows)
+    out = str(tmp_path / "out")
+    ingest.store(chunks, out)
+    ingest.store(chunks.withColumn("kb_id", F.lit("k2")), out)
+    ingest.replace_base(chunks.limit(1), out)
+    assert {(r.kb_id, r["count"]) for r in spark.read.parquet(out).groupBy("kb_id").count().collect()} == {("k1", 1), ("k2", len(rows))}
+    bare = spark.createDataFrame([("1", "text", None, 0), ("2", None, None, 0), ("3", "x", [1.0], 1)], "id string, content string, embedding array<float>, embedding_dim long")
+    assert {(r.id, r.embedding_dim) for r in missing(bare, hashed_words(8)).collect()} == {("1", 8), ("2", 0)}
