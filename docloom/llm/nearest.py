@@ -10,7 +10,8 @@ with all others of their dimension:
 3. every vector goes to its SPREAD nearest partitions, as entry and as query;
 4. a partition is one task: codes of four bits are scanned by lookup tables, two codes a
    lookup, and the best candidates are scored again with the exact vectors at hand.
-   Partitions far above the usual size are cut into tiles, each of which sees all queries.
+   Partitions far above the usual size are divided again by centres of their own; what is
+   large even then is cut into tiles, each of which sees all queries.
 
 Work grows with the number of vectors as long as the number of partitions does.
 """
@@ -227,25 +228,21 @@ def nearest(rows: DataFrame, key: str, vector: str, k: int = 10, least: float |
                 at = np.repeat(np.arange(len(part)), to.shape[1])
                 yield pd.DataFrame({"dim": dim, "part": to.ravel().astype(np.int32), "n": part["rep"].to_numpy()[at], "v": part["v"].to_numpy()[at]})
 
-    routed = firsts.select("dim", "rep", "v").mapInPandas(route, "dim int, part int, n long, v binary")
-    tiles = {}
+    routed = firsts.select("dim", "rep", "v").mapInPandas(route, "dim int, part int, n long, v binary").withColumn("sub", F.lit(0))
+    large = {}
     if firsts.count() > TILE:  # the routes are cheap enough to be counted first
-        sizes = routed.groupBy("dim", "part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TILE).collect()
-        tiles = {(r["dim"], r["part"]): -(-r["n"] // TILE) for r in sizes}
-    if tiles:
-        many = rows.sparkSession.createDataFrame([(d, p, t) for (d, p), t in tiles.items()], "dim int, part int, tiles int")
-        routed = routed.join(F.broadcast(many), ["dim", "part"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-        routed = routed.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        routed = routed.withColumn("entry", F.pmod(F.xxhash64("n"), F.col("tiles")) == F.col("tile")).drop("tiles")
-    else:
-        routed = routed.withColumn("tile", F.lit(0)).withColumn("entry", F.lit(True))
+        large = _larger_than_a_tile(routed)
+    if large:
+        routed = stage.put(_divided(stage, routed, large))
+        large = _larger_than_a_tile(routed)
+    routed = _tiled(routed, large)
 
     def scan(group, data):
-        dim, part, _ = group
+        dim, part = group[0], group[1]
         found = models[dim].search(part, data["n"].to_numpy(), _array(data["v"], dim), data["entry"].to_numpy(), k, least)
         return pd.DataFrame(found, columns=["n", "near", "cosine"]).astype({"n": "int64"})
 
-    hits = routed.groupBy("dim", "part", "tile").applyInPandas(scan, "n long, near array<long>, cosine array<double>")
+    hits = routed.groupBy("dim", "part", "sub", "tile").applyInPandas(scan, "n long, near array<long>, cosine array<double>")
     # a partition's answers to a query are merged as arrays, k long each
     merged = hits.groupBy("n").agg(F.flatten(F.collect_list(F.arrays_zip("cosine", "near"))).alias("all"))
     best = F.slice(F.reverse(F.array_sort(F.array_distinct("all"))), 1, k)
@@ -253,6 +250,58 @@ def nearest(rows: DataFrame, key: str, vector: str, k: int = 10, least: float |
     return _with_copies(stage, table, firsts, pairs, k)
 
 
+def _larger_than_a_tile(routed: DataFrame) -> dict[tuple[int, int, int], int]:
+    """Sizes of the partitions above TILE; of them there are as many as centres at most."""
+    sizes = routed.groupBy("dim", "part", "sub").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TILE)
+    return {(r["dim"], r["part"], r["sub"]): r["n"] for r in sizes.collect()}
+
+
+def _marked(routed: DataFrame, sizes: dict, column: str, value) -> DataFrame:
+    rows = [(*key, int(value(n))) for key, n in sizes.items()]
+    marks = routed.sparkSession.createDataFrame(rows, f"dim int, part int, sub int, {column} int")
+    return routed.join(F.broadcast(marks), ["dim", "part", "sub"], "left")
+
+
+def _divided(stage: Stage, routed: DataFrame, large: dict) -> DataFrame:
+    """Large partitions divided by centres of their own, fitted in one task each on at most
+    SAMPLE of their vectors; every vector goes to its two nearest. Rows meet their partition's
+    centres in groups of bounded size, so no centre is sent to all tasks."""
+    rows = _marked(routed, large, "size", lambda n: n)
+    big = rows.where("size is not null")
+    per_part = F.least(F.lit(SAMPLE), F.greatest(F.lit(64), (F.col("size") * 32 / (PARTITION * SPREAD)).cast("int")))
+    drawn = big.where(F.pmod(F.xxhash64("v", F.lit(5)), F.lit(2**20)) < per_part / F.col("size") * 2**20)
+
+    def centres(group, data):
+        v = _array(data["v"], group[0])
+        parts = max(1, min(-(-int(data["size"].iloc[0]) // (PARTITION * SPREAD)), len(v) // 8))
+        found = _spherical_means(v, parts, np.random.default_rng(group[1]))
+        return pd.DataFrame({"dim": [group[0]], "part": [group[1]], "rows": [int(data["size"].iloc[0])], "centres": [found.tobytes()]}).astype({"dim": "int32", "part": "int32"})
+
+    fitted = stage.put(drawn.groupBy("dim", "part").applyInPandas(centres, "dim int, part int, rows long, centres binary"))
+    asked = big.withColumn("salt", F.pmod(F.xxhash64("n"), F.ceil(F.col("size") / 50_000).cast("long")))
+    salts = F.ceil(F.col("rows") / 50_000)
+    each = fitted.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), (salts - 1).cast("long"))))
+
+    def divide(group, vectors, own):
+        dim = group[0]
+        to = _nearest(_array(vectors["v"], dim), _array(own["centres"], dim), min(2, len(own["centres"].iloc[0]) // (4 * dim)))
+        at = np.repeat(np.arange(len(vectors)), to.shape[1])
+        return pd.DataFrame({"dim": dim, "part": group[1], "n": vectors["n"].to_numpy()[at], "v": vectors["v"].to_numpy()[at], "sub": 1 + to.ravel()}).astype({"dim": "int32", "part": "int32", "sub": "int32"})
+
+    keys = ["dim", "part", "salt"]
+    parts = asked.groupBy(*keys).cogroup(each.groupBy(*keys)).applyInPandas(divide, "dim int, part int, n long, v binary, sub int")
+    return rows.where("size is null").select("dim", "part", "n", "v", "sub").unionByName(parts)
+
+
+def _tiled(routed: DataFrame, large: dict) -> DataFrame:
+    """Entries of what is still large spread over tiles by hash; all its queries go to every tile."""
+    if not large:
+        return routed.withColumn("tile", F.lit(0)).withColumn("entry", F.lit(True))
+    rows = _marked(routed, large, "tiles", lambda n: -(-n // TILE)).withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    rows = rows.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return rows.withColumn("entry", F.pmod(F.xxhash64("n"), F.col("tiles")) == F.col("tile")).drop("tiles")
+
+
 def _with_copies(stage: Stage, table: DataFrame, firsts: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
     """From pairs of different vectors to the k neighbours of every key, copies included."""
     members = stage.put(table.join(firsts.select("dim", "v", "rep", "copies"), ["dim", "v"]).select("key", "rep", "copies"))

@@ -104,6 +104,20 @@ def test_nearest_copies_and_dirt(spark):
     assert nearest.nearest(df.limit(0), "key", "x").count() == 0
 
 
+def test_nearest_divides_large_partitions(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(12, 16))
+    rows = [(f"v{i:04}", (centres[i % 12] + 0.3 * rng.normal(size=16)).tolist()) for i in range(1500)]
+    for name, value in (("TILE", 200), ("PARTITION", 60), ("SAMPLE", 64)):
+        monkeypatch.setattr(nearest, name, value)
+    df = spark.createDataFrame(rows, "key string, x array<double>")
+    got = {}
+    for r in nearest.nearest(df, "key", "x", 5).collect():
+        got.setdefault(r.key, set()).add(r.neighbour)
+    want = _brute(rows, 5)
+    assert np.mean([len(got[k] & {*want[k]}) / 5 for k in want]) >= 0.85
+
+
 def test_nearest_tiles(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows = [(f"v{i:04}", rng.normal(size=8).tolist()) for i in range(400)]
