@@ -226,6 +226,13 @@ def _scan_chunks(spark):
     return spark.createDataFrame(rows, "id string, document_id long, chunk_index long, page_number long, content string")
 
 
+def test_frequent_entries(spark):
+    df = spark.createDataFrame([(f"w{i}", i) for i in range(1000)], "gram string, n long")
+    got = {r.gram for r in scans.frequent(df, 100).collect()}
+    assert got <= {f"w{i}" for i in range(890, 1000)} and len(got) >= 90
+    assert scans.frequent(df, 5000).count() == 1000 and scans.frequent(df.limit(0), 10).count() == 0
+
+
 def test_scan_defects(spark):
     got = {(r.chunk_id, r.defect) for r in scans.defects(_scan_chunks(spark)).collect()}
     pages = {f"c{d}{p}" for d in range(4) for p in range(5)}
