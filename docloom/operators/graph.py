@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
+from docloom.tables import Stage
 
 from .components import components
 
@@ -162,22 +163,20 @@ def communities(relations: DataFrame) -> DataFrame:
     The update order matters only inside a connected component, so components are the unit
     of work. Those too large for a task (LPA_TASK_EDGES) run in synchronous rounds of joins.
     """
-    adj = adjacency(relations)
-    parts = components(adj.select("node", "neighbour"), "node", "neighbour")
-    rows = adj.join(parts, "node")
-    size = rows.groupBy("component").agg(F.count(F.lit(1)).alias("_edges"))
-    rows = rows.join(size, "component")
+    stage = Stage(relations.sparkSession, "communities")
+    adj = stage.put(adjacency(relations))
+    parts = stage.put(components(adj.where("node < neighbour"), "node", "neighbour"))
+    size = adj.join(parts, "node").groupBy("component").agg(F.count(F.lit(1)).alias("_edges"))
+    rows = adj.join(parts.join(size, "component"), "node")
     small = rows.where(F.col("_edges") <= LPA_TASK_EDGES).groupBy("kb_id", "component").applyInPandas(_propagate, "kb_id string, entity_id string, community string")
-    large = rows.where(F.col("_edges") > LPA_TASK_EDGES).select("kb_id", "node", "neighbour", "weight")
-    if large.isEmpty():
+    if size.where(F.col("_edges") > LPA_TASK_EDGES).isEmpty():
         return small
+    large = rows.where(F.col("_edges") > LPA_TASK_EDGES).select("kb_id", "node", "neighbour", "weight")
     return small.unionByName(synchronous_labels(large))
 
 
 def synchronous_labels(adj: DataFrame, passes: int = LPA_PASSES) -> DataFrame:
     """Label propagation in rounds that all nodes take at once; each round is a join and two aggregations."""
-    from docloom.tables import Stage
-
     stage = Stage(adj.sparkSession, "labels")
     adj = stage.put(adj)
     labels = stage.put(adj.select("kb_id", "node").distinct().withColumn("label", F.col("node")))
