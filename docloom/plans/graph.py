@@ -13,7 +13,7 @@ from .base import TRIM, W, query, stamp
 
 _NAME = f"lower(regexp_replace(regexp_replace(name, '{W}+', ' ', 'g'), {TRIM}))"
 _REL = """rel as (select id, kb_id, source_id, target_id, coalesce(nullif(trim(predicate), ''), '相关') as predicate, coalesce(description, '') as description, evidence_chunk_id, created_at,
-case when weight is null then 1.0 when isnan(weight) then 0.1 else least(10.0, greatest(0.1, weight)) end as weight
+case when weight is null then 1.0 when weight::varchar = 'nan' then 0.1 else least(10.0, greatest(0.1, weight)) end as weight
 from relationships where source_id is not null and target_id is not null and source_id <> target_id)"""
 
 
@@ -252,7 +252,7 @@ def members_by_type(spark, sf_dir):
     return e.groupBy("kb_id", "entity_type").agg(F.count(F.lit(1)).alias("entities"), listed.alias("members"))
 
 
-@query(f"select kb_id, {stamp('max(created_at)')} as newest, count(*) as relations, count(distinct source_id) as sources, sum(case when not isnan(weight) then round(weight * 1000)::bigint end)::bigint as thousandths from relationships group by 1")
+@query(f"select kb_id, {stamp('max(created_at)')} as newest, count(*) as relations, count(distinct source_id) as sources, sum(try_cast(round(weight * 1000) as bigint))::bigint as thousandths from relationships group by 1")
 def relation_statistics(spark, sf_dir):
     """Relations of a base at a glance."""
     w = F.when(~F.isnan("weight"), F.round(F.col("weight") * 1000).cast("long"))

@@ -35,7 +35,7 @@ seed as (select distinct r.kb_id, r.query_id, x.entity_id from ranked r join ent
 seeds as (select * from seed union select * from named)"""
 
 _FACTS = _SEEDS + """, rel as (select distinct on (id) id, source_id, target_id, coalesce(nullif(trim(predicate), ''), '相关') as predicate, coalesce(description, '') as description,
-case when weight is null then 1.0 when isnan(weight) then 0.1 else least(10.0, greatest(0.1, weight)) end as weight
+case when weight is null then 1.0 when weight::varchar = 'nan' then 0.1 else least(10.0, greatest(0.1, weight)) end as weight
 from relationships where source_id is not null and target_id is not null and source_id <> target_id),
 hit as (select distinct query_id, r.id from rel r join seeds s on s.entity_id = r.source_id or s.entity_id = r.target_id),
 facts as (select * from (select query_id, row_number() over (partition by query_id order by weight desc, r.id) as rank, r.id, source_id, target_id, s.name as source, t.name as target, predicate, r.description, weight
