@@ -201,6 +201,12 @@ def community_ids(members: DataFrame, entities: DataFrame) -> DataFrame:
     return out.select("kb_id", name.alias("community_id"), "community", "member_count")
 
 
+def members(communities: DataFrame, entities: DataFrame) -> DataFrame:
+    """kb_id, community, id, name, entity_type: one row per member that is an entity of the base."""
+    e = entities.select("kb_id", F.col("id").alias("entity_id"), "name", F.coalesce("entity_type", F.lit(DEFAULT_TYPE)).alias("entity_type"))
+    return communities.join(e, ["kb_id", "entity_id"]).select("kb_id", "community", F.col("entity_id").alias("id"), "name", "entity_type")
+
+
 def internal_relations(members: DataFrame, relations: DataFrame) -> DataFrame:
     """Relations whose both ends lie in one community, with it."""
     s = members.select(F.col("entity_id").alias("source_id"), F.col("community").alias("_a"))

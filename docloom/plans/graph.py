@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators import graph as G
 from docloom.operators.components import components
+from docloom.operators.ranking import numbered
 from docloom.tables import read
 
 from .base import TRIM, W, query, stamp
@@ -245,13 +246,36 @@ def changed_communities(spark, sf_dir):
 @query("""select kb_id, entity_type, count(*) as entities, string_agg(name, '、' order by name, id) as members from (
 select kb_id, id, name, coalesce(entity_type, '概念') as entity_type, row_number() over (partition by kb_id, coalesce(entity_type, '概念') order by name, id) r from entities where name is not null) where r <= 50 group by 1, 2""")
 def members_by_type(spark, sf_dir):
-    """Members of a group as one ordered value, 50 at most."""
+    """The first 50 names of each type as one value, for a look; `entities` counts these only. `type_members` has all."""
     e = read(spark, sf_dir, "entities").where("name is not null").withColumn("entity_type", F.coalesce("entity_type", F.lit(G.DEFAULT_TYPE)))
     e = e.withColumn("_r", F.row_number().over(Window.partitionBy("kb_id", "entity_type").orderBy("name", "id"))).where("_r <= 50")
     listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_r", "name"))), lambda x: x["name"]), "、")
     return e.groupBy("kb_id", "entity_type").agg(F.count(F.lit(1)).alias("entities"), listed.alias("members"))
 
 
+@query("""select kb_id, coalesce(entity_type, '概念') as entity_type, row_number() over (partition by kb_id, coalesce(entity_type, '概念') order by name nulls first, id) - 1 as position,
+count(*) over (partition by kb_id, coalesce(entity_type, '概念')) as members, id, name from entities""")
+def type_members(spark, sf_dir):
+    """Every member of every type of a base, one row each in order of name and id."""
+    e = read(spark, sf_dir, "entities").select("kb_id", F.coalesce("entity_type", F.lit(G.DEFAULT_TYPE)).alias("entity_type"), "id", "name")
+    return _placed(e, ["kb_id", "entity_type"]).select("kb_id", "entity_type", "position", "members", "id", "name")
+
+
+@query()
+def community_members(spark, sf_dir):
+    """Every member of every community, one row each in order of name and id (tested against a plain version)."""
+    r, e = _t(spark, sf_dir, "relationships", "entities")
+    return _placed(G.members(G.communities(r), e), ["kb_id", "community"])
+
+
+def _placed(rows, group):
+    """``rows`` with position (from 0 by name and id) and members, the number of rows of the group."""
+    rows = numbered(rows.withColumn("_g", F.struct(*group)), "_g", [F.col("name"), F.col("id")], "position")
+    size = rows.groupBy("_g").agg(F.count(F.lit(1)).alias("members"))
+    n = size.withColumnRenamed("_g", "_h")
+    return rows.join(n, rows["_g"].eqNullSafe(n["_h"])).drop("_g", "_h")
+
+
 @query(f"select kb_id, {stamp('max(created_at)')} as newest, count(*) as relations, count(distinct source_id) as sources, sum(try_cast(round(weight * 1000) as bigint))::bigint as thousandths from relationships group by 1")
 def relation_statistics(spark, sf_dir):
     """Relations of a base at a glance."""

@@ -120,6 +120,21 @@ def test_synchronous_labels_keep_components(spark):
     assert label["a"] == label["b"] == label["c"] and label["x"] in "xy" and label["y"] in "xy"
 
 
+def test_members_are_not_cut(spark, tmp_path):
+    from docloom.plans import registry
+
+    rows = [(f"e{i:03}", "k", None if i == 7 else f"n{i * 37 % 120:03}", None, None if i % 2 else "概念", None, None) for i in range(120)]
+    e = spark.createDataFrame(rows, "id string, kb_id string, name string, normalized_name string, entity_type string, description string, created_at timestamp")
+    e.write.parquet(str(tmp_path / "entities.parquet"))
+    _relations(spark, [("e000", f"e{i:03}", 1.0) for i in range(1, 120)] + [("e000", "gone", 1.0)]).write.parquet(str(tmp_path / "relationships.parquet"))
+    order = [r[0] for r in sorted(rows, key=lambda r: (r[2] or "", r[0]))]
+    got = registry.QUERIES["type_members"](spark, str(tmp_path)).collect()
+    assert [r.id for r in sorted(got, key=lambda r: r.position)] == order and {(r.entity_type, r.members) for r in got} == {("概念", 120)}
+    got = registry.QUERIES["community_members"](spark, str(tmp_path)).collect()
+    assert [r.id for r in sorted(got, key=lambda r: r.position)] == order
+    assert {r.members for r in got} == {120} and len({r.community for r in got}) == 1 and [r.position for r in sorted(got, key=lambda r: r.position)] == [*range(120)]
+
+
 def test_reducers_ties_and_nulls(spark):
     from datetime import datetime
 
