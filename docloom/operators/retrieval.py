@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.functions import vectors as V
+from docloom.tables import Stage
 
 from .graph import clean_relations, mentions
 
@@ -25,16 +26,45 @@ def top_k(vectors: DataFrame, key: str, vector: str, query: list[float], k: int
     return rows.orderBy(F.desc("score"), key).limit(k)
 
 
-def rank_by_base(chunks: DataFrame, queries: DataFrame, k: int = 6) -> DataFrame:
+def rank_by_base(chunks: DataFrame, queries: DataFrame, k: int = 6, block: int = 20_000) -> DataFrame:
     """kb_id, query_id, chunk_id, score, rank: each query's best chunks of its base.
 
     ``chunks`` has kb_id, id and embedding; a query that is itself a chunk finds itself.
+    Blocks of about ``block`` rows of one base and vector length meet the base's queries of that
+    length; a block's task multiplies matrices and gives at most k rows a query.
     """
-    q = queries.select("kb_id", "query_id", "query_vector")
-    rows = chunks.select("kb_id", F.col("id").alias("chunk_id"), "embedding").join(q, "kb_id").where(F.size("embedding") == F.size("query_vector"))
-    rows = rows.select("kb_id", "query_id", "chunk_id", F.round(V.dot(F.col("embedding"), F.col("query_vector")), 5).alias("score"))
+    group = ["kb_id", "dim"]
+    data = chunks.where("embedding is not null").select("kb_id", F.size("embedding").alias("dim"), F.col("id").alias("key"), F.col("embedding").alias("v"))
+    asked = queries.where("query_vector is not null").select("kb_id", F.size("query_vector").alias("dim"), "query_id", F.col("query_vector").alias("v"))
+    n = data.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"))
+    data = data.join(n, group).withColumn("block", F.pmod(F.xxhash64("key"), F.col("n")).cast("int")).drop("n")
+    asked = asked.join(n, group).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
+    kinds = chunks.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+
+    def multiply(key: tuple, q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        out = _best(q, d, k) if len(q) and len(d) else []
+        return pd.DataFrame([(key[0], *r) for r in out], columns=["kb_id", "query_id", "chunk_id", "score"])
+
+    by, ask_by = [*group, "block"], ["_kb", "_dim", "_block"]
+    asked = asked.select(*(F.col(c).alias(a) for c, a in zip(by, ask_by)), "query_id", "v")
+    rows = asked.groupBy(*ask_by).cogroup(data.groupBy(*by)).applyInPandas(multiply, f"kb_id string, query_id {kinds[1]}, chunk_id {kinds[0]}, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return Stage(chunks.sparkSession, "ranked").put(rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+
+
+def _best(q: pd.DataFrame, d: pd.DataFrame, k: int) -> list[tuple]:
+    """(query_id, key, score): the k best of ``d`` (key, v) for each of ``q`` (query_id, v), all of one length."""
+    out = []
+    m, keys = np.stack(d["v"].to_numpy()).astype(np.float64), d["key"].to_numpy()
+    for start in range(0, len(q), 512):
+        some = q.iloc[start : start + 512]
+        s = np.round(np.stack(some["v"].to_numpy()).astype(np.float64) @ m.T, 5)
+        low = np.where(np.isnan(s), -np.inf, -s)  # Spark holds NaN for the largest
+        for i, query in enumerate(some["query_id"]):
+            at = np.flatnonzero(low[i] <= np.partition(low[i], k - 1)[k - 1]) if len(keys) > k else range(len(keys))
+            best = sorted((low[i][j], keys[j], s[i][j]) for j in at)[:k]
+            out += [(query, key, score) for _, key, score in best]
+    return out
 
 
 def batch_top_k(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 6, block: int = 20_000) -> DataFrame:
@@ -78,8 +108,8 @@ def rerank(ranked: DataFrame, chunks: DataFrame, queries: DataFrame, k: int = 6)
     """
     words = F.array_distinct(F.filter(F.split(F.lower("query_text"), r"(?U)\W+"), lambda w: F.length(w) > 0))
     q = queries.select("query_id", words.alias("words"))
-    rows = ranked.join(q, "query_id").join(chunks.select(F.col("id").alias("chunk_id"), "content"), "chunk_id")
-    held = F.size(F.filter("words", lambda w: F.instr(F.lower(F.col("content")), w) > 0))
+    rows = ranked.join(q, "query_id").join(chunks.select(F.col("id").alias("chunk_id"), F.lower("content").alias("_c")), "chunk_id")
+    held = F.size(F.filter("words", lambda w: F.instr(F.col("_c"), w) > 0))
     rows = rows.withColumn("rerank_score", F.round(held / F.greatest(F.lit(1), F.size("words")), 5))
     order = Window.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank")
     rows = rows.withColumn("new_rank", F.row_number().over(order)).where(F.col("new_rank") <= k)
@@ -94,10 +124,36 @@ def seed_entities(ranked: DataFrame, entity_chunks: DataFrame, entities: DataFra
 
 
 def named_entities(queries: DataFrame, entities: DataFrame) -> DataFrame:
-    """query_id, entity_id: entities of the base whose normalised name (two characters at least) stands in the query."""
-    q = queries.select("kb_id", "query_id", F.lower("query_text").alias("_q"))
-    e = entities.select("kb_id", F.col("id").alias("entity_id"), T.normalize_name(F.coalesce("normalized_name", "name")).alias("_n")).where("length(_n) >= 2")
-    return q.join(e, (q["kb_id"] == e["kb_id"]) & (F.instr(F.col("_q"), F.col("_n")) > 0)).select(q["kb_id"], "query_id", "entity_id").distinct()
+    """query_id, entity_id: entities of the base whose normalised name (two characters at least) stands in the query.
+
+    Blocks of a base's texts meet blocks of its names; at each place of a text only names of the
+    same first two characters are looked up, so the work is not texts times names.
+    """
+    q = queries.where("query_text is not null").select("kb_id", "query_id", F.lower("query_text").alias("text"))
+    e = entities.select("kb_id", F.col("id").alias("entity_id"), T.normalize_name(F.coalesce("normalized_name", "name")).alias("name")).where("length(name) >= 2")
+    nq, ne = (x.groupBy("kb_id").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(n)) for x, size, n in ((q, 2_000, "_nq"), (e, 100_000, "_ne")))
+    n = nq.join(ne, "kb_id")
+    mine, all_ = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int"), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = q.join(n, "kb_id").withColumn("_q", mine("query_id", "_nq")).withColumn("_e", all_("_ne"))
+    e = e.join(n, "kb_id").withColumn("_e", mine("entity_id", "_ne")).withColumn("_q", all_("_nq"))
+
+    def look(key: tuple, q: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        ids: dict[str, list] = {}
+        sizes: dict[str, set[int]] = {}
+        for i, name in zip(e["entity_id"], e["name"]):
+            ids.setdefault(name, []).append(i)
+            sizes.setdefault(name[:2], set()).add(len(name))
+        out = []
+        for query, text in zip(q["query_id"], q["text"]):
+            found = {text[at : at + size] for at in range(len(text) - 1) for size in sizes.get(text[at : at + 2], ())}
+            out += [(key[0], query, i) for name in found for i in ids.get(name, ())]
+        return pd.DataFrame(out, columns=["kb_id", "query_id", "entity_id"])
+
+    kinds = [d.schema[c].dataType.simpleString() for d, c in ((queries, "query_id"), (entities, "id"))]
+    q = q.select(F.col("kb_id").alias("_kb"), F.col("_q").alias("_mine"), F.col("_e").alias("_other"), "query_id", "text")
+    e = e.select("kb_id", "_q", "_e", "entity_id", "name")
+    rows = q.groupBy("_kb", "_mine", "_other").cogroup(e.groupBy("kb_id", "_q", "_e")).applyInPandas(look, f"kb_id string, query_id {kinds[0]}, entity_id {kinds[1]}")
+    return rows.distinct()
 
 
 def local_facts(seeds: DataFrame, relations: DataFrame, entities: DataFrame, k: int = 16) -> DataFrame:
@@ -129,6 +185,13 @@ def hybrid(ranked: DataFrame, related: DataFrame, k: int = 6) -> DataFrame:
     return rows.where(F.col("rank") <= k).drop("_s")
 
 
+def local(queries: DataFrame, ranked: DataFrame, entities: DataFrame, entity_chunks: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(seeds, facts): entities of the ranked chunks or named in the query, and the relations around them."""
+    stage = Stage(queries.sparkSession, "local")
+    seeds = stage.put(seed_entities(ranked, entity_chunks, entities).union(named_entities(queries, entities)).distinct())
+    return seeds, stage.put(local_facts(seeds, relations, entities))
+
+
 def search(mode: str, queries: DataFrame, chunks: DataFrame, entities: DataFrame, entity_chunks: DataFrame, relations: DataFrame, k: int = 6) -> DataFrame:
     """The chunks of one mode: vector, graph_local (four vector seeds at most) or hybrid."""
     if mode not in ("vector", "graph_local", "hybrid"):
@@ -136,8 +199,7 @@ def search(mode: str, queries: DataFrame, chunks: DataFrame, entities: DataFrame
     ranked = rank_by_base(chunks, queries, k if mode != "graph_local" else min(4, k))
     if mode == "vector":
         return ranked.select("query_id", "chunk_id", "score", "rank")
-    seeds = seed_entities(ranked, entity_chunks, entities).union(named_entities(queries, entities)).distinct()
-    facts = local_facts(seeds, relations, entities)
+    seeds, facts = local(queries, ranked, entities, entity_chunks, relations)
     return hybrid(ranked, related_chunks(seeds, facts, entity_chunks, k), k)
 
 

@@ -1,4 +1,7 @@
-"""Retrieval queries. Each base asks with its first 64-number chunk, so work grows with the data."""
+"""Retrieval queries. In those named after all_questions every chunk of the documents whose id is
+divisible by 50 asks, with its whole content and a vector of any length, so work grows with the
+data. In the others each base asks once: with 300 characters of its first 64-number chunk.
+"""
 
 from __future__ import annotations
 
@@ -17,6 +20,11 @@ def _queries(spark, sf_dir):
     return first.select("kb_id", F.col("s.id").alias("query_id"), F.substring("s.content", 1, 300).alias("query_text"), F.col("s.embedding").alias("query_vector"))
 
 
+def _all_questions(spark, sf_dir):
+    c = read(spark, sf_dir, "chunks").where("document_id % 50 = 0 and embedding is not null")
+    return c.select("kb_id", F.col("id").alias("query_id"), F.col("content").alias("query_text"), F.col("embedding").alias("query_vector"))
+
+
 def _ranked(spark, sf_dir, k=6):
     return R.rank_by_base(read(spark, sf_dir, "chunks"), _queries(spark, sf_dir), k)
 
@@ -28,6 +36,13 @@ from chunks c join q using (kb_id) where len(c.embedding) = len(query_vector)),
 ranks as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from scored),
 ranked as (select * from ranks where rank <= 6)"""
 
+
+
+def _all(sql: str) -> str:
+    """The same SQL over all questions."""
+    return "with q as (select kb_id, id as query_id, content as query_text, embedding as query_vector from chunks where document_id % 50 = 0 and embedding is not null),\nscored" + sql.split("\nscored", 1)[1]
+
+
 _SEEDS = _Q + """, named as (select distinct q.kb_id, query_id, e.id as entity_id from q join entities e on e.kb_id = q.kb_id
 where length(regexp_replace(lower(coalesce(e.normalized_name, e.name)), '^ +| +$', '', 'g')) >= 2
 and contains(lower(query_text), regexp_replace(regexp_replace(lower(coalesce(e.normalized_name, e.name)), '[\\t\\n\\x0b\\f\\r \\x{85}\\p{Z}]+', ' ', 'g'), '^ +| +$', '', 'g'))),
@@ -72,10 +87,13 @@ def vector_topk_by_base(spark, sf_dir):
     return _ranked(spark, sf_dir).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(_Q + """, cand as (select * from ranks where rank <= 18), words as (select query_id, list_distinct(list_filter(string_split_regex(lower(query_text), '[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+'), lambda w: length(w) > 0)) w from q)
+_RERANK = _Q + """, cand as (select * from ranks where rank <= 18), words as (select query_id, list_distinct(list_filter(string_split_regex(lower(query_text), '[^\\p{L}\\p{M}\\p{Nd}\\p{Pc}]+'), lambda w: length(w) > 0)) w from q)
 select kb_id, query_id, chunk_id, score, rerank_score, rank from (select c.kb_id, query_id, chunk_id, score, round(len(list_filter(w, lambda x: contains(lower(k.content), x))) / greatest(1, len(w)), 5) as rerank_score,
 row_number() over (partition by query_id order by round(len(list_filter(w, lambda x: contains(lower(k.content), x))) / greatest(1, len(w)), 5) desc, c.rank) as rank
-from cand c join words using (query_id) join chunks k on k.id = c.chunk_id) where rank <= 6""")
+from cand c join words using (query_id) join chunks k on k.id = c.chunk_id) where rank <= 6"""
+
+
+@query(_RERANK)
 def rerank_by_base(spark, sf_dir):
     """18 candidates by vector, 6 by a lexical score."""
     q = _queries(spark, sf_dir)
@@ -121,6 +139,43 @@ def hybrid_search(spark, sf_dir):
     return R.search("hybrid", _queries(spark, sf_dir), *t).withColumn("rank", F.col("rank").cast("long"))
 
 
+@query(_all(_RERANK))
+def rerank_all_questions(spark, sf_dir):
+    """R2, R3, J13 for every question."""
+    q, c = _all_questions(spark, sf_dir), read(spark, sf_dir, "chunks")
+    return R.rerank(R.rank_by_base(c, q, 18), c, q).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(_all(_SEEDS) + " select query_id, entity_id from named")
+def entities_named_in_all_questions(spark, sf_dir):
+    """J8 for every question."""
+    return R.named_entities(_all_questions(spark, sf_dir), read(spark, sf_dir, "entities")).select("query_id", "entity_id")
+
+
+def _local_all(spark, sf_dir):
+    q, (c, e, x, r) = _all_questions(spark, sf_dir), (read(spark, sf_dir, n) for n in ("chunks", "entities", "entity_chunks", "relationships"))
+    return R.local(q, R.rank_by_base(c, q), e, x, r)
+
+
+@query(_all(_FACTS) + " select query_id, rank, id, source, target, predicate, weight from facts")
+def facts_of_all_questions(spark, sf_dir):
+    """R5, J4, J14 for every question."""
+    return _local_all(spark, sf_dir)[1].select("query_id", F.col("rank").cast("long").alias("rank"), "id", "source", "target", "predicate", "weight")
+
+
+@query(_all(_RELATED) + " select query_id, chunk_id, relevance, rank from related")
+def related_to_all_questions(spark, sf_dir):
+    """R6, A5 for every question."""
+    return R.related_chunks(*_local_all(spark, sf_dir), read(spark, sf_dir, "entity_chunks")).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(_all(_HYBRID) + " select query_id, chunk_id, score, rank from hybrid")
+def hybrid_all_questions(spark, sf_dir):
+    """R7, R8, J15 for every question."""
+    t = [read(spark, sf_dir, n) for n in ("chunks", "entities", "entity_chunks", "relationships")]
+    return R.search("hybrid", _all_questions(spark, sf_dir), *t).withColumn("rank", F.col("rank").cast("long"))
+
+
 @query(_Q + """ select query_id, string_agg('[来源' || rank || '] 文件：' || coalesce(d.filename, '') || case when c.page_number > 0 then '，第' || c.page_number || '页' else '' end || chr(10) || coalesce(c.content, ''), chr(10) || chr(10) order by rank) as context
 from ranked r join chunks c on c.id = r.chunk_id join documents d on d.doc_id = c.document_id group by 1""")
 def search_context(spark, sf_dir):

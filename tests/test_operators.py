@@ -188,6 +188,29 @@ def test_numbered_hot_group(spark):
     assert got == want and numbered(df.limit(0), "g", [F.col("o")], "n").count() == 0
 
 
+def test_whole_questions_of_both_lengths(spark, tmp_path):
+    from docloom.plans import registry
+
+    text = "开头 " * 200 + "Acme Works 在末尾"
+    chunks = [(f"c{i}", d, "k", text if i < 2 else "x", [float(i == j) for j in range(64 if i % 2 else 48)]) for i, d in enumerate((50, 50, 100, 7, 7))]
+    spark.createDataFrame(chunks, "id string, document_id long, kb_id string, content string, embedding array<float>").withColumn("embedding_dim", F.size("embedding").cast("long")).write.parquet(str(tmp_path / "chunks.parquet"))
+    e = [("e1", "k", "ACME  works", None), ("e2", "k", "Acme Workshop", None), ("e3", "other", "acme works", None), ("e4", "k", "在末", None), ("e5", "k", "在", None)]
+    spark.createDataFrame(e, "id string, kb_id string, name string, normalized_name string").write.parquet(str(tmp_path / "entities.parquet"))
+    got = {(r.query_id, r.entity_id) for r in registry.QUERIES["entities_named_in_all_questions"](spark, str(tmp_path)).collect()}
+    assert got == {(q, i) for q in ("c0", "c1") for i in ("e1", "e4")}
+    got = {(r.query_id, r.chunk_id) for r in registry.QUERIES["rerank_all_questions"](spark, str(tmp_path)).collect()}
+    assert got == {(q, c) for q in ("c0", "c2") for c in ("c0", "c2", "c4")} | {("c1", "c1"), ("c1", "c3")}
+
+
+def test_rank_by_base_blocks(spark):
+    rnd = random.Random(4)
+    rows = [(f"c{i:03}", f"k{i % 3}", [rnd.uniform(-1, 1) for _ in range(4 + i % 2)]) for i in range(150)] + [("none", "k0", None)]
+    c = spark.createDataFrame(rows, "id string, kb_id string, embedding array<float>")
+    q = c.select("kb_id", F.col("id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    sets = [{(r.query_id, r["rank"], r.chunk_id, r.score) for r in retrieval.rank_by_base(c, q, 5, block=n).collect()} for n in (7, 20_000)]
+    assert sets[0] == sets[1] and len(sets[0]) == 750
+
+
 def test_search_modes(spark):
     with pytest.raises(ValueError):
         retrieval.search("other", None, None, None, None, None)
