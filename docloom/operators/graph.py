@@ -15,7 +15,7 @@ from .components import components
 
 DEFAULT_TYPE, DEFAULT_PREDICATE = "概念", "相关"
 LPA_PASSES = 12
-#: Components with more edges than this are labelled in synchronous rounds instead of one task.
+#: Components with more edges than this are labelled by joins instead of in one task, with the same result.
 LPA_TASK_EDGES = 200_000
 
 
@@ -161,7 +161,7 @@ def communities(relations: DataFrame) -> DataFrame:
     """kb_id, entity_id, community (a member's id) by label propagation.
 
     The update order matters only inside a connected component, so components are the unit
-    of work. Those too large for a task (LPA_TASK_EDGES) run in synchronous rounds of joins.
+    of work. Those too large for a task (LPA_TASK_EDGES) take the same updates level by level.
     """
     stage = Stage(relations.sparkSession, "communities")
     adj = stage.put(adjacency(relations))
@@ -172,11 +172,59 @@ def communities(relations: DataFrame) -> DataFrame:
     if size.where(F.col("_edges") > LPA_TASK_EDGES).isEmpty():
         return small
     large = rows.where(F.col("_edges") > LPA_TASK_EDGES).select("kb_id", "node", "neighbour", "weight")
-    return small.unionByName(synchronous_labels(large))
+    return small.unionByName(levelled_labels(large))
+
+
+def levelled_labels(adj: DataFrame, passes: int = LPA_PASSES) -> DataFrame:
+    """The labels of ``_propagate`` by joins, for components of any size.
+
+    An update in place needs the new labels of the neighbours that come earlier in (-degree, id)
+    and the old ones of the others. A node's level is one more than the highest of its earlier
+    neighbours, so the nodes of a level don't need each other and are updated at once. Weights
+    are added in the order of the neighbours, as doubles depend on it; a node's neighbours of
+    one label are gathered for that.
+    """
+    spark, key = adj.sparkSession, ["kb_id", "node"]
+    stage = Stage(spark, "levels")
+    adj = stage.put(adj.select(*key, "neighbour", "weight"))
+    degree = stage.put(adj.groupBy(*key).agg(F.count(F.lit(1)).alias("degree")))
+    other = degree.select("kb_id", F.col("node").alias("neighbour"), F.col("degree").alias("_d"))
+    first = (F.col("_d") > F.col("degree")) | ((F.col("_d") == F.col("degree")) & (F.col("neighbour") < F.col("node")))
+    earlier = stage.put(adj.select(*key, "neighbour").join(degree, key).join(other, ["kb_id", "neighbour"]).where(first).select(*key, "neighbour"))
+    waits = earlier.groupBy(*key).agg(F.count(F.lit(1)).alias("wait"))
+    left = stage.put(degree.join(waits, key, "left").select(*key, F.coalesce("wait", F.lit(0)).alias("wait")))
+    edges, labels = [], []
+    while not left.isEmpty():
+        ready = left.where("wait = 0").select(*key)
+        edges.append(stage.put(adj.join(ready, key)))
+        labels.append(stage.put(ready.withColumn("label", F.col("node"))))
+        done = earlier.join(ready.withColumnRenamed("node", "neighbour"), ["kb_id", "neighbour"]).groupBy(*key).agg(F.count(F.lit(1)).alias("_done"))
+        rest = stage.put(left.where("wait > 0").join(done, key, "left").select(*key, (F.col("wait") - F.coalesce("_done", F.lit(0))).alias("wait")))
+        stage.drop(left)
+        left = rest
+
+    def now() -> DataFrame:
+        return spark.read.schema(labels[0].schema).parquet(*(x._stage_path for x in labels))
+
+    if not labels:
+        return adj.select("kb_id", F.col("node").alias("entity_id"), F.col("node").alias("community"))
+    mark = None
+    for _ in range(passes):
+        for i, mine in enumerate(edges):
+            told = mine.join(now().withColumnRenamed("node", "neighbour"), ["kb_id", "neighbour"])
+            weights = F.sort_array(F.collect_list(F.struct("neighbour", "weight")))
+            heard = told.groupBy(*key, "label").agg(F.aggregate(weights, F.lit(0.0), lambda s, x: s + x["weight"]).alias("w"))
+            new = stage.put(heard.groupBy(*key).agg(F.min_by("label", F.struct(-F.col("w"), F.col("label"))).alias("label")))
+            stage.drop(labels[i])
+            labels[i] = new
+        last, mark = mark, now().agg(F.count(F.lit(1)), F.sum(F.xxhash64("kb_id", "node", "label").cast("decimal(38,0)"))).first()
+        if mark == last:
+            break
+    return now().select("kb_id", F.col("node").alias("entity_id"), F.col("label").alias("community"))
 
 
 def synchronous_labels(adj: DataFrame, passes: int = LPA_PASSES) -> DataFrame:
-    """Label propagation in rounds that all nodes take at once; each round is a join and two aggregations."""
+    """Label propagation in rounds that all nodes take at once: another algorithm, which `communities` doesn't use."""
     stage = Stage(adj.sparkSession, "labels")
     adj = stage.put(adj)
     labels = stage.put(adj.select("kb_id", "node").distinct().withColumn("label", F.col("node")))

@@ -113,6 +113,17 @@ def test_label_propagation_is_exact_by_component(spark):
     assert got == _plain_labels(pairs)
 
 
+def test_labels_do_not_depend_on_size(spark, monkeypatch):
+    rnd = random.Random(5)
+    pairs = [("x", "y", 1.0), *((f"l{i}", f"r{j}", 0.1) for i in range(2) for j in range(3))]
+    pairs += [(f"e{rnd.randrange(25):02}", f"e{rnd.randrange(25):02}", rnd.choice([0.1, 0.2, 0.3, 0.7])) for _ in range(45)]
+    pairs = [*{(a, b): (a, b, w) for a, b, w in pairs}.values()]
+    want = {r.entity_id: r.community for r in graph.communities(_relations(spark, pairs)).collect()}
+    assert want == _plain_labels(pairs)
+    monkeypatch.setattr(graph, "LPA_TASK_EDGES", 0)
+    assert {r.entity_id: r.community for r in graph.communities(_relations(spark, pairs)).collect()} == want
+
+
 def test_synchronous_labels_keep_components(spark):
     pairs = [("a", "b", 1.0), ("b", "c", 1.0), ("a", "c", 1.0), ("x", "y", 1.0)]
     rows = graph.synchronous_labels(graph.adjacency(_relations(spark, pairs))).collect()
