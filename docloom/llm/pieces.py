@@ -16,13 +16,14 @@ from __future__ import annotations
 
 import bisect
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.tables import Stage
+from docloom.tables import Stage, shared_dir
 
 LIMIT, OVERLAP = 900, 160
 #: Code points of a text range and bytes of a file range; any size gives pieces within the limit.
@@ -34,13 +35,22 @@ _WORD = re.compile(r"\s+|(?<=[，、：])")
 
 
 def text_ranges(items: DataFrame, text: str, keep: list[str], size: int = TEXT_RANGE) -> DataFrame:
-    """``keep``, range, ranges, before (the character before the range), body. Null texts are dropped."""
-    n = F.ceil(F.length(text) / F.lit(size)).cast("int")
-    rows = items.where(F.col(text).isNotNull()).select(*keep, F.col(text).alias("_t"), F.greatest(F.lit(1), n).alias("ranges"))
-    rows = rows.withColumn("range", F.explode(F.sequence(F.lit(0), F.col("ranges") - 1)))
-    at = F.col("range") * size
-    before = F.when(F.col("range") == 0, F.lit("")).otherwise(F.substring("_t", at, F.lit(1)))
-    return rows.select(*keep, "range", "ranges", before.alias("before"), F.substring("_t", at + 1, F.lit(size)).alias("body"))
+    """``keep``, range, ranges, before (the character before the range), body. Null texts are dropped.
+
+    Only texts over ``size`` are sliced, in one pass over each; all others are their own range
+    and aren't handed to Python.
+    """
+
+    @F.pandas_udf("array<struct<before:string,body:string>>")
+    def slices(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else [{"before": t[max(0, i - 1) : i], "body": t[i : i + size]} for i in range(0, len(t), size)] for t in texts])
+
+    rows = items.where(F.col(text).isNotNull()).select(*keep, F.col(text).alias("_t"))
+    large = F.length("_t") > size
+    whole = F.array(F.struct(F.lit("").alias("before"), F.col("_t").alias("body")))
+    rows = rows.withColumn("_cut", F.coalesce(slices(F.when(large, F.col("_t"))), whole)).drop("_t")
+    rows = rows.select(*keep, F.size("_cut").alias("ranges"), F.posexplode("_cut").alias("range", "_r"))
+    return rows.select(*keep, "range", "ranges", "_r.before", "_r.body")
 
 
 def file_ranges(spark: SparkSession, path: str, size: int = FILE_RANGE) -> DataFrame:
@@ -218,6 +228,27 @@ def chunk_pieces(chunks: DataFrame) -> DataFrame:
 
 
 def long_chunks(chunks: DataFrame) -> DataFrame:
-    """p4_found: chunk_id."""
-    rows = measured(chunk_ranges(chunks).select("chunk_id", "range", "ranges", "before", "body"))
-    return boundaries(rows, "chunk_id").select("chunk_id").distinct()
+    """p4_found: chunk_id of the chunks that `split` cuts."""
+    rows = chunk_ranges(chunks).select("chunk_id", "range", "ranges", "before", "body")
+    return split(rows, "chunk_id", ["chunk_id"]).select("chunk_id").distinct()
+
+
+def document_pieces(documents: DataFrame, size: int = 4096) -> DataFrame:
+    """p4_document_pieces: doc_id, piece, begin, end, content of every text over the limit, in ranges so small that most texts have several."""
+    return split(text_ranges(documents, "text", ["doc_id"], size), "doc_id", ["doc_id"])
+
+
+def file_pieces(documents: DataFrame, size: int = 1 << 16) -> DataFrame:
+    """p4_file_pieces: source, file, piece, begin, end, content of text files that hold the documents of a source.
+
+    The files are written to the shared folder first, a null source as ``__null__``; then each
+    range of ``size`` bytes is read by its own task.
+    """
+    spark = documents.sparkSession
+    path = f"{shared_dir(spark)}/texts-{uuid.uuid4().hex}"
+    rows = documents.where("text is not null").select(F.coalesce("source", F.lit("__null__")).alias("source"), F.col("text").alias("value"))
+    rows.write.partitionBy("source").text(path)
+    ranges = file_ranges(spark, f"{path}/source=*/*.txt", size)
+    rows = split(ranges, "path", ["path"])
+    source, file = F.regexp_extract("path", "source=([^/]*)/", 1), F.regexp_extract("path", "part-([0-9]+)", 1).cast("int")
+    return rows.select(F.url_decode(source).alias("source"), file.alias("file"), "piece", "begin", "end", "content")

@@ -42,6 +42,14 @@ def p4_pieces(spark, sf_dir):
     return pieces.chunk_pieces(read(spark, sf_dir, "chunks"))
 
 
+def p4_document_pieces(spark, sf_dir):
+    return pieces.document_pieces(read(spark, sf_dir, "documents"))
+
+
+def p4_file_pieces(spark, sf_dir):
+    return pieces.file_pieces(read(spark, sf_dir, "documents"))
+
+
 def p5_found(spark, sf_dir):
     return scans.defects(read(spark, sf_dir, "chunks"))
 
@@ -82,7 +90,7 @@ reach(a, b) as (select a, a from e union select r.a, e.b from reach r join e on
 g as (select a as entity_id, min(b) as group_id from reach group by a)
 """
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_clusters, p2_found, p2_neighbours, p3_found, p3_group_sizes, p4_found, p4_pieces, p5_found, p5_text, p6_ids, p7_chosen, p7_shares, p8_found, p8_scores, p8_rates)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_clusters, p2_found, p2_neighbours, p3_found, p3_group_sizes, p4_found, p4_pieces, p4_document_pieces, p4_file_pieces, p5_found, p5_text, p6_ids, p7_chosen, p7_shares, p8_found, p8_scores, p8_rates)}
 
 _P4 = r"""
 select id as chunk_id from chunks
