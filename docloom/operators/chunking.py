@@ -13,35 +13,73 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+_PARAGRAPH = re.compile(r"\n{2,}|(?<=。)\n")
+_SENTENCE = re.compile(r"(?<=[。！？.!?；;])\s*")
 _SCHEMA = "chunk_index long, content string, token_count long"
 
 
-def _units(paragraph: str, size: int) -> Iterator[str]:
-    """A paragraph's sentences joined up to ``size``; longer ones in hard slices."""
-    held = ""
-    for sentence in filter(None, map(str.strip, re.split(r"(?<=[。！？.!?；;])\s*", paragraph))):
-        if len(sentence) <= size and (not held or len(held) + 1 + len(sentence) <= size):
-            held = f"{held} {sentence}" if held else sentence
-            continue
-        if held:
-            yield held
-        held = ""
-        if len(sentence) > size:
-            yield from (sentence[i : i + size] for i in range(0, len(sentence), size))
-        else:
-            held = sentence
-    if held:
-        yield held
+def _flat(text: str, size: int) -> tuple[str, list[tuple[int, int]]]:
+    """The text as its units, a blank line between them, and where each unit begins and ends.
 
+    A unit is a run of a paragraph's sentences within ``size``, or a slice of a longer sentence.
+    """
+    parts: list[str] = []
+    spans: list[tuple[int, int]] = []
+    at = 0  # end of the last unit
+
+    def add(piece: str, gap: str) -> None:
+        nonlocal at
+        begin = at + len(gap) if parts else 0
+        parts.extend([gap, piece] if parts else [piece])
+        at = begin + len(piece)
+        if gap == " ":
+            spans[-1] = spans[-1][0], at
+        else:
+            spans.append((begin, at))
 
-def _tail(text: str, overlap: int) -> str:
-    tail = text[-overlap:] if overlap > 0 else ""
-    cut = min((tail.index(m) for m in "\n。 " if m in tail), default=-1)
-    return tail[cut + 1 :]
+    for paragraph in _PARAGRAPH.split(text):
+        room = -1  # what the open unit can still take; none is open at a paragraph's begin
+        for sentence in map(str.strip, _SENTENCE.split(paragraph)):
+            if not sentence:
+                continue
+            if len(sentence) < room:
+                add(sentence, " ")
+                room -= len(sentence) + 1
+            else:
+                for i in range(0, len(sentence), size):
+                    piece = sentence[i : i + size]
+                    if piece.strip():
+                        add(piece.rstrip() if parts else piece, "\n\n")
+                room = size - len(sentence)
+    return "".join(parts), spans
+
+
+def _ink(flat: str, at: int) -> int:
+    while flat[at].isspace():
+        at += 1
+    return at
+
+
+def _cuts(flat: str, spans: list[tuple[int, int]], size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """Begin and end of each chunk: as many units as fit; the next one begins in the overlap, at a unit at the latest."""
+    begin = end = None
+    for b, e in spans:
+        if begin is None:
+            begin = b
+        elif e - _ink(flat, begin) <= size:
+            begin = _ink(flat, begin)
+        else:
+            yield begin, end
+            lap = max(begin, end - overlap)
+            marks = [m for m in (flat.find(x, lap, end) for x in "\n。 ") if m >= 0]
+            begin = max(_ink(flat, min(marks) + 1 if marks else lap), e - size)
+        end = e
+    if end is not None:
+        yield begin, end
 
 
 def pack(text: str | None, size: int, overlap: int) -> list[str]:
-    """The chunks of one section: blocks joined by a blank line up to ``size`` characters.
+    """The chunks of one section, each a slice of its units with blank lines between them.
 
     A new chunk begins with the overlap tail of the one before; if that makes it too long,
     its front is cut. Null and blank texts have no chunks.
@@ -49,19 +87,8 @@ def pack(text: str | None, size: int, overlap: int) -> list[str]:
     if overlap >= size:
         raise ValueError("overlap must be smaller than size")
     clean = re.sub(r"[ \t]+", " ", re.sub(r"\r\n?", "\n", text or ""))
-    done: list[str] = []
-    now = ""
-    for paragraph in re.split(r"\n{2,}|(?<=。)\n", clean):
-        for unit in _units(paragraph.strip(), size):
-            longer = f"{now}\n\n{unit}".strip() if now else unit
-            if len(longer) <= size:
-                now = longer
-            elif now:
-                done.append(now)
-                now = f"{_tail(now, overlap)}\n\n{unit}".strip()[-size:]
-            else:
-                now = unit
-    return done + [now] if now else done
+    flat, spans = _flat(clean, size)
+    return [flat[b:e] for b, e in _cuts(flat, spans, size, overlap)]
 
 
 def chunk(df: DataFrame, text: str, keep: list[str], size: int = 900, overlap: int = 160) -> DataFrame:
