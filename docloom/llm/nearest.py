@@ -11,7 +11,7 @@ with all others of their dimension:
 4. a partition is one task: codes of four bits are scanned by lookup tables, two codes a
    lookup, and the best candidates are scored again with the exact vectors at hand.
    Partitions far above the usual size are divided again by centres of their own; what is
-   large even then is cut into tiles, each of which sees all queries.
+   large even then is cut into tiles of queries and of entries, and every pair of tiles is a task.
 
 Work grows with the number of vectors as long as the number of partitions does.
 """
@@ -60,7 +60,6 @@ class Index:
 
     def _fit(self, r: np.ndarray, x: np.ndarray, rng) -> np.ndarray:
         m = r.shape[1] // _WIDTH
-        r, x = r[:12_000], x[:12_000]
         parts, sides = r.reshape(len(r), m, _WIDTH), x.reshape(len(x), m, _WIDTH)
         books = parts[rng.choice(len(parts), _CODES)].transpose(1, 0, 2).copy()
         for _ in range(8):
@@ -104,16 +103,21 @@ class Index:
     def assign(self, v: np.ndarray) -> np.ndarray:
         return _nearest(v, self.centres, min(SPREAD, len(self.centres)))
 
-    def search(self, part: int, ids: np.ndarray, v: np.ndarray, entry: np.ndarray, k: int, least: float | None) -> list[tuple]:
-        """For each row (query) of a partition its best entries: (id, ids, cosines)."""
+    def search(self, part: int, ids: np.ndarray, v: np.ndarray, query: np.ndarray, entry: np.ndarray, k: int, least: float | None) -> list[tuple]:
+        """For each query row of a partition its best entry rows: (id, ids, cosines).
+
+        Entries whose scanned score may reach ``least`` are all scored exactly; without it the
+        best RERANK are.
+        """
         x = self._padded(v)
         centre = self._padded(self.centres[part : part + 1])
         d, d_ids = x[entry], ids[entry]
-        if not len(d):
+        x, ids = x[query], ids[query]
+        if not len(d) or not len(x):
             return []
         m = x.shape[1] // _WIDTH
         codes = self._encode((d - centre).reshape(len(d), m, _WIDTH), d.reshape(len(d), m, _WIDTH), self.books)
-        pairs = (codes[:, 0::2] * _CODES + codes[:, 1::2]).astype(np.intp)
+        pairs = (codes[:, 0::2] * _CODES + codes[:, 1::2]).astype(np.uint8).T.copy()  # two codes a byte
         keep = min(RERANK, len(d))
         out = []
         for b in range(0, len(x), 256):
@@ -122,22 +126,24 @@ class Index:
             table = (table[:, 0::2, :, None] + table[:, 1::2, None, :]).reshape(len(q), m // 2, _CODES * _CODES)
             score = np.repeat(q @ centre.T, len(d), 1)
             for j in range(m // 2):
-                score += table[:, j].take(pairs[:, j], axis=1)
+                score += table[:, j].take(pairs[j], axis=1)
             score[q_ids[:, None] == d_ids[None]] = -9
             if least is not None:
                 rows, cols = np.nonzero(score >= least - SLACK)
                 if len(rows) <= len(q) * keep:
                     exact = np.einsum("ij,ij->i", q[rows], d[cols], dtype=np.float64)
-                    good = exact >= least
-                    out += _by_row(q_ids, rows[good], d_ids[cols[good]], exact[good], k)
-                    continue
+                else:  # so many that all products at once cost less
+                    exact = (q.astype(np.float64) @ d.T.astype(np.float64))[rows, cols]
+                good = exact >= least
+                out += _by_row(q_ids, rows[good], d_ids[cols[good]], exact[good], k)
+                continue
             best = np.argpartition(-score, keep - 1, axis=1)[:, :keep] if keep < len(d) else np.tile(np.arange(len(d)), (len(q), 1))
             exact = np.einsum("bd,bkd->bk", q, d[best]).astype(np.float64)
             exact[q_ids[:, None] == d_ids[best]] = -9
             order = np.argsort(-exact, axis=1, kind="stable")[:, :k]
             exact, best = np.take_along_axis(exact, order, 1), np.take_along_axis(best, order, 1)
             for i in range(len(q)):
-                ok = exact[i] >= (-1.5 if least is None else least)
+                ok = exact[i] >= -1.5
                 if ok.any():
                     out.append((int(q_ids[i]), d_ids[best[i][ok]].tolist(), exact[i][ok].tolist()))
         return out
@@ -239,10 +245,10 @@ def nearest(rows: DataFrame, key: str, vector: str, k: int = 10, least: float |
 
     def scan(group, data):
         dim, part = group[0], group[1]
-        found = models[dim].search(part, data["n"].to_numpy(), _array(data["v"], dim), data["entry"].to_numpy(), k, least)
+        found = models[dim].search(part, data["n"].to_numpy(), _array(data["v"], dim), data["query"].to_numpy(), data["entry"].to_numpy(), k, least)
         return pd.DataFrame(found, columns=["n", "near", "cosine"]).astype({"n": "int64"})
 
-    hits = routed.groupBy("dim", "part", "sub", "tile").applyInPandas(scan, "n long, near array<long>, cosine array<double>")
+    hits = routed.groupBy("dim", "part", "sub", "asks", "tile").applyInPandas(scan, "n long, near array<long>, cosine array<double>")
     # a partition's answers to a query are merged as arrays, k long each
     merged = hits.groupBy("n").agg(F.flatten(F.collect_list(F.arrays_zip("cosine", "near"))).alias("all"))
     best = F.slice(F.reverse(F.array_sort(F.array_distinct("all"))), 1, k)
@@ -294,12 +300,16 @@ def _divided(stage: Stage, routed: DataFrame, large: dict) -> DataFrame:
 
 
 def _tiled(routed: DataFrame, large: dict) -> DataFrame:
-    """Entries of what is still large spread over tiles by hash; all its queries go to every tile."""
+    """What is still large by tiles: a row asks in the groups (own tile, each tile) and is an entry in (each tile, own tile)."""
     if not large:
-        return routed.withColumn("tile", F.lit(0)).withColumn("entry", F.lit(True))
+        return routed.withColumns({"asks": F.lit(0), "tile": F.lit(0), "query": F.lit(True), "entry": F.lit(True)})
     rows = _marked(routed, large, "tiles", lambda n: -(-n // TILE)).withColumn("tiles", F.coalesce("tiles", F.lit(1)))
-    rows = rows.withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    return rows.withColumn("entry", F.pmod(F.xxhash64("n"), F.col("tiles")) == F.col("tile")).drop("tiles")
+    rows = rows.withColumn("_own", F.pmod(F.xxhash64("n"), F.col("tiles")).cast("int"))
+    all_ = F.sequence(F.lit(0), F.col("tiles") - 1)
+    own = F.col("_own")
+    groups = F.concat(F.transform(all_, lambda t: F.struct(own.alias("asks"), t.alias("tile"))), F.transform(F.filter(all_, lambda t: t != own), lambda t: F.struct(t.alias("asks"), own.alias("tile"))))
+    rows = rows.withColumn("_g", F.explode(groups)).withColumns({"asks": F.col("_g.asks"), "tile": F.col("_g.tile")})
+    return rows.withColumn("query", F.col("asks") == own).withColumn("entry", F.col("tile") == own).drop("tiles", "_own", "_g")
 
 
 def _with_copies(stage: Stage, table: DataFrame, firsts: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
