@@ -15,7 +15,8 @@ from .components import components
 
 DEFAULT_TYPE, DEFAULT_PREDICATE = "概念", "相关"
 LPA_PASSES = 12
-#: Components with more edges than this are labelled by joins instead of in one task, with the same result.
+#: Components with more edges than this are labelled by joins instead of in one task. Both ways make the same
+#: updates in the same order, so this bounds a task's memory and changes no label.
 LPA_TASK_EDGES = 200_000
 
 
@@ -241,11 +242,17 @@ def synchronous_labels(adj: DataFrame, passes: int = LPA_PASSES) -> DataFrame:
 
 
 def community_ids(members: DataFrame, entities: DataFrame) -> DataFrame:
-    """kb_id, community_id, community, member_count: the id is a hash of the sorted members' names and types."""
+    """kb_id, community_id, community, member_count: the id is a hash of the members' ids, names and types.
+
+    Members are hashed one by one and their hashes added up, which no order changes and which is
+    combined before the shuffle, so a community of any size is one small row.
+    """
     e = entities.select(F.col("id").alias("entity_id"), F.concat_ws("\x1f", "id", F.coalesce("name", F.lit("")), F.coalesce("entity_type", F.lit(""))).alias("_s"))
-    rows = members.join(e, "entity_id").groupBy("kb_id", "community")
-    out = rows.agg(F.sha2(F.array_join(F.sort_array(F.collect_list("_s")), "\x1e"), 256).alias("_h"), F.count(F.lit(1)).alias("member_count"))
-    name = F.concat(F.lit("community-"), F.substring("kb_id", 1, 8), F.lit("-"), F.substring("_h", 1, 24))
+    digest = F.sha2("_s", 256)
+    part = lambda i: F.sum(F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+    out = members.join(e, "entity_id").groupBy("kb_id", "community").agg(part(0).alias("_a"), part(1).alias("_b"), part(2).alias("_c"), F.count(F.lit(1)).alias("member_count"))
+    mark = F.sha2(F.concat_ws("-", "_a", "_b", "_c", F.col("member_count").cast("string")), 256)
+    name = F.concat(F.lit("community-"), F.substring("kb_id", 1, 8), F.lit("-"), F.substring(mark, 1, 24))
     return out.select("kb_id", name.alias("community_id"), "community", "member_count")
 
 

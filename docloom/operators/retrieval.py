@@ -21,35 +21,53 @@ from .graph import clean_relations, mentions
 
 def top_k(vectors: DataFrame, key: str, vector: str, query: list[float], k: int = 6) -> DataFrame:
     """key, score: the k best inner products with one query vector; other lengths are skipped."""
-    q = F.lit([float(x) for x in query])
+    q = F.array(*(F.lit(float(x)) for x in query)).cast("array<double>")
     rows = vectors.where(F.size(vector) == len(query)).select(key, F.round(V.dot(F.col(vector), q), 5).alias("score"))
     return rows.orderBy(F.desc("score"), key).limit(k)
 
 
-def rank_by_base(chunks: DataFrame, queries: DataFrame, k: int = 6, block: int = 20_000) -> DataFrame:
+def rank_by_base(chunks: DataFrame, queries: DataFrame, k: int = 6, block: int = 20_000, ask: int = 4_000) -> DataFrame:
     """kb_id, query_id, chunk_id, score, rank: each query's best chunks of its base.
 
     ``chunks`` has kb_id, id and embedding; a query that is itself a chunk finds itself.
-    Blocks of about ``block`` rows of one base and vector length meet the base's queries of that
-    length; a block's task multiplies matrices and gives at most k rows a query.
     """
-    group = ["kb_id", "dim"]
     data = chunks.where("embedding is not null").select("kb_id", F.size("embedding").alias("dim"), F.col("id").alias("key"), F.col("embedding").alias("v"))
     asked = queries.where("query_vector is not null").select("kb_id", F.size("query_vector").alias("dim"), "query_id", F.col("query_vector").alias("v"))
-    n = data.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"))
-    data = data.join(n, group).withColumn("block", F.pmod(F.xxhash64("key"), F.col("n")).cast("int")).drop("n")
-    asked = asked.join(n, group).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).drop("n")
-    kinds = chunks.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    return _blockwise(data, asked, "kb_id", k, block, ask).withColumnRenamed("key", "chunk_id")
 
-    def multiply(key: tuple, q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+
+def batch_top_k(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 6, block: int = 20_000, ask: int = 4_000) -> DataFrame:
+    """query_id, key, score, rank: each query against all vectors of its length, exactly; null and empty vectors are left out."""
+    data = vectors.where(F.size(vector) > 0).select(F.lit("").alias("_all"), F.size(vector).alias("dim"), F.col(key).alias("key"), F.col(vector).alias("v"))
+    asked = queries.where(F.size("query_vector") > 0).select(F.lit("").alias("_all"), F.size("query_vector").alias("dim"), "query_id", F.col("query_vector").alias("v"))
+    return _blockwise(data, asked, "_all", k, block, ask).drop("_all").withColumnRenamed("key", key)
+
+
+def _blockwise(data: DataFrame, asked: DataFrame, part: str, k: int, block: int, ask: int) -> DataFrame:
+    """``part``, query_id, key, score, rank: the k best rows of ``data`` for each of ``asked`` with the same part and vector length.
+
+    Blocks of about ``block`` rows meet blocks of about ``ask`` queries; a pair of blocks is a
+    task's group that multiplies matrices and gives at most k rows a query.
+    """
+    group = [part, "dim"]
+    size = lambda rows, most, name: rows.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
+    n = size(data, block, "_n").join(size(asked, ask, "_m"), group)
+    mine = lambda c, m: F.pmod(F.xxhash64(c), F.col(m)).cast("int")
+    each = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+    data = data.join(n, group).withColumn("_b", mine("key", "_n")).withColumn("_q", each("_m")).select(*group, "_b", "_q", "key", "v")
+    asked = asked.join(n, group).withColumn("_q", mine("query_id", "_m")).withColumn("_b", each("_n"))
+    kinds = [d.schema[c].dataType.simpleString() for d, c in ((data, part), (asked, "query_id"), (data, "key"))]
+
+    def multiply(group: tuple, q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
         out = _best(q, d, k) if len(q) and len(d) else []
-        return pd.DataFrame([(key[0], *r) for r in out], columns=["kb_id", "query_id", "chunk_id", "score"])
+        return pd.DataFrame([(group[0], *r) for r in out], columns=[part, "query_id", "key", "score"])
 
-    by, ask_by = [*group, "block"], ["_kb", "_dim", "_block"]
-    asked = asked.select(*(F.col(c).alias(a) for c, a in zip(by, ask_by)), "query_id", "v")
-    rows = asked.groupBy(*ask_by).cogroup(data.groupBy(*by)).applyInPandas(multiply, f"kb_id string, query_id {kinds[1]}, chunk_id {kinds[0]}, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return Stage(chunks.sparkSession, "ranked").put(rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+    by = [*group, "_b", "_q"]
+    left = ["_part", "_dim", "_block", "_ask"]
+    asked = asked.select(*(F.col(c).alias(a) for c, a in zip(by, left)), "query_id", "v")
+    rows = asked.groupBy(*left).cogroup(data.groupBy(*by)).applyInPandas(multiply, f"{part} {kinds[0]}, query_id {kinds[1]}, key {kinds[2]}, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
+    return Stage(data.sparkSession, "ranked").put(rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
 
 
 def _best(q: pd.DataFrame, d: pd.DataFrame, k: int) -> list[tuple]:
@@ -67,40 +85,6 @@ def _best(q: pd.DataFrame, d: pd.DataFrame, k: int) -> list[tuple]:
     return out
 
 
-def batch_top_k(vectors: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 6, block: int = 20_000) -> DataFrame:
-    """query_id, key, score, rank: each query against all vectors, exactly.
-
-    Vectors are cut into blocks of about ``block`` rows; the stated queries go to every block,
-    a block's task multiplies matrices and gives at most k rows a query.
-    """
-    n = max(1, -(-vectors.count() // block))
-    kind = vectors.schema[key].dataType.simpleString()
-    data = vectors.select(F.col(key).alias("key"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("block"))
-    asked = queries.select("query_id", F.col("query_vector").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
-    q_kind = queries.schema["query_id"].dataType.simpleString()
-
-    def multiply(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for dim, part in d.groupby(d["v"].map(len)):
-            mine = q[q["v"].map(len) == dim]
-            if not len(mine):
-                continue
-            m, keys = np.stack(part["v"].to_numpy()).astype(np.float64), part["key"].to_numpy()
-            for start in range(0, len(mine), 512):
-                some = mine.iloc[start : start + 512]
-                s = np.round(np.stack(some["v"].to_numpy()).astype(np.float64) @ m.T, 5)
-                for i, query in enumerate(some["query_id"]):
-                    floor = np.partition(s[i], -k)[-k] if len(keys) > k else -np.inf
-                    at = np.flatnonzero(s[i] >= floor)
-                    best = sorted(zip(-s[i][at], keys[at]))[:k]
-                    out += [(query, b, -a) for a, b in best]
-        return pd.DataFrame(out, columns=["query_id", "key", "score"])
-
-    rows = asked.groupBy("block").cogroup(data.groupBy("block")).applyInPandas(multiply, f"query_id {q_kind}, key {kind}, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumnRenamed("key", key)
-
-
 def rerank(ranked: DataFrame, chunks: DataFrame, queries: DataFrame, k: int = 6) -> DataFrame:
     """The candidates of ``rank_by_base`` again by the share of the query's words that they hold.
 

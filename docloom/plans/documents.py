@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.functions import vectors as V
 from docloom.operators import chunking, tables
+from docloom.operators.ranking import numbered
 from docloom.tables import read
 
 from .base import TRIM, W, query, stamp
@@ -17,13 +18,12 @@ def _stamp(c: str):
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
 
-@query(f"""select kb_id, doc_id, filename, status, {stamp('created_at')} as created_at, rank from (
-select *, row_number() over (partition by kb_id order by created_at desc nulls last, doc_id desc) as rank from documents) where rank <= 20""")
+@query(f"""select kb_id, doc_id, filename, status, {stamp('created_at')} as created_at, row_number() over (partition by kb_id order by created_at desc nulls last, doc_id desc) as rank from documents""")
 def documents_newest(spark, sf_dir):
-    """Each base's newest documents."""
-    order = Window.partitionBy("kb_id").orderBy(F.desc_nulls_last("created_at"), F.desc("doc_id"))
-    rows = read(spark, sf_dir, "documents").withColumn("rank", F.row_number().over(order).cast("long")).where("rank <= 20")
-    return rows.select("kb_id", "doc_id", "filename", "status", _stamp("created_at").alias("created_at"), "rank")
+    """Each base's documents, newest first, those without a time last."""
+    d = read(spark, sf_dir, "documents").select("kb_id", "doc_id", "filename", "status", "created_at")
+    rows = numbered(d, "kb_id", [F.desc_nulls_last("created_at"), F.desc("doc_id")], "rank")
+    return rows.select("kb_id", "doc_id", "filename", "status", _stamp("created_at").alias("created_at"), (F.col("rank") + 1).alias("rank"))
 
 
 @query("""select k.id as kb_id, k.name, coalesce(d.n, 0) as documents, coalesce(c.n, 0) as chunks, coalesce(e.n, 0) as entities, coalesce(r.n, 0) as relationships
@@ -149,20 +149,24 @@ def normalized_space(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.md5(t).alias("hash"), F.length(t).cast("long").alias("size"))
 
 
-@query(f"""select doc_id, unnest(range(len(p))) as position, md5(unnest(p)) as hash from (select doc_id, list_filter(list_transform(
-string_split_regex(replace({_NORMAL}, '。' || chr(10), '。' || chr(1)), '\\n{{2,}}|\\x01'), lambda x: regexp_replace(x, {TRIM})), lambda x: length(x) > 0) p from documents where text is not null and not contains(text, chr(1)))""")
+# U+0001 marks cuts in the SQL, so a text's own is U+E001 meanwhile
+_SAFE = "replace(text, chr(1), chr(57345))"
+
+
+@query(f"""select doc_id, unnest(range(len(p))) as position, md5(replace(unnest(p), chr(57345), chr(1))) as hash from (select doc_id, list_filter(list_transform(
+string_split_regex(replace({_NORMAL.replace('text', _SAFE)}, '。' || chr(10), '。' || chr(1)), '\\n{{2,}}|\\x01'), lambda x: regexp_replace(x, {TRIM})), lambda x: length(x) > 0) p from documents where text is not null)""")
 def paragraphs(spark, sf_dir):
-    """Paragraphs of every text (but those with the control character that the SQL marks cuts with)."""
-    d = read(spark, sf_dir, "documents").where("text is not null and instr(text, chr(1)) = 0")
+    """Paragraphs of every text."""
+    d = read(spark, sf_dir, "documents").where("text is not null")
     p = T.paragraphs(T.normalize_space(F.col("text")))
     return d.select("doc_id", F.posexplode(p).alias("position", "x")).select("doc_id", F.col("position").cast("long").alias("position"), F.md5("x").alias("hash"))
 
 
-@query(f"""select doc_id, len(list_filter(list_transform(string_split(regexp_replace(text, '([。！？.!?；;]){W}*', '\\1' || chr(1), 'g'), chr(1)),
-lambda x: regexp_replace(x, {TRIM})), lambda x: length(x) > 0)) as sentences from documents where text is not null and not contains(text, chr(1))""")
+@query(f"""select doc_id, len(list_filter(list_transform(string_split(regexp_replace({_SAFE}, '([。！？.!?；;]){W}*', '\\1' || chr(1), 'g'), chr(1)),
+lambda x: regexp_replace(x, {TRIM})), lambda x: length(x) > 0)) as sentences from documents where text is not null""")
 def sentence_counts(spark, sf_dir):
     """C4: sentences of every text."""
-    d = read(spark, sf_dir, "documents").where("text is not null and instr(text, chr(1)) = 0")
+    d = read(spark, sf_dir, "documents").where("text is not null")
     return d.select("doc_id", F.size(T.sentences(F.col("text"))).cast("long").alias("sentences"))
 
 

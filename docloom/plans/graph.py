@@ -243,14 +243,17 @@ def changed_communities(spark, sf_dir):
     return now.join(before.select("community_id"), "community_id", "left_anti")
 
 
-@query("""select kb_id, entity_type, count(*) as entities, string_agg(name, '、' order by name, id) as members from (
-select kb_id, id, name, coalesce(entity_type, '概念') as entity_type, row_number() over (partition by kb_id, coalesce(entity_type, '概念') order by name, id) r from entities where name is not null) where r <= 50 group by 1, 2""")
+@query("""select kb_id, entity_type, count(*) as entities, count(name) as named, string_agg(name, '、' order by name, id) filter (where r <= 50) as first_names from (
+select kb_id, id, name, coalesce(entity_type, '概念') as entity_type, row_number() over (partition by kb_id, coalesce(entity_type, '概念') order by name nulls last, id) r from entities) group by 1, 2""")
 def members_by_type(spark, sf_dir):
-    """The first 50 names of each type as one value, for a look; `entities` counts these only. `type_members` has all."""
-    e = read(spark, sf_dir, "entities").where("name is not null").withColumn("entity_type", F.coalesce("entity_type", F.lit(G.DEFAULT_TYPE)))
-    e = e.withColumn("_r", F.row_number().over(Window.partitionBy("kb_id", "entity_type").orderBy("name", "id"))).where("_r <= 50")
+    """Every type's size and, as a preview, its first 50 names; `type_members` has every member."""
+    e = read(spark, sf_dir, "entities").withColumn("entity_type", F.coalesce("entity_type", F.lit(G.DEFAULT_TYPE)))
+    size = e.groupBy("kb_id", "entity_type").agg(F.count(F.lit(1)).alias("entities"), F.count("name").alias("named"))
+    top = e.where("name is not null").withColumn("_r", F.row_number().over(Window.partitionBy("kb_id", "entity_type").orderBy("name", "id"))).where("_r <= 50")
     listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_r", "name"))), lambda x: x["name"]), "、")
-    return e.groupBy("kb_id", "entity_type").agg(F.count(F.lit(1)).alias("entities"), listed.alias("members"))
+    names = top.groupBy(F.col("kb_id").alias("_kb"), F.col("entity_type").alias("_type")).agg(listed.alias("first_names"))
+    rows = size.join(names, F.col("kb_id").eqNullSafe(F.col("_kb")) & (F.col("entity_type") == F.col("_type")), "left")
+    return rows.select("kb_id", "entity_type", "entities", "named", "first_names")
 
 
 @query("""select kb_id, coalesce(entity_type, '概念') as entity_type, row_number() over (partition by kb_id, coalesce(entity_type, '概念') order by name nulls first, id) - 1 as position,

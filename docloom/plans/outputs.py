@@ -8,6 +8,7 @@ from docloom.exports import lines as L
 from docloom.functions import text as T
 from docloom.operators import checkpoints as C
 from docloom.operators import graph as G
+from docloom.operators.ranking import numbered
 from docloom.tables import read
 
 from .base import query
@@ -86,10 +87,8 @@ def base_summary(spark, sf_dir):
 select doc_id, f, row_number() over (partition by kb_id, lower(f) order by doc_id) r from (select doc_id, kb_id, coalesce(filename, 'document') f from documents))""")
 def archive_names(spark, sf_dir):
     """K9: names of files in an archive, equal ones numbered."""
-    from pyspark.sql import Window
-
     d = read(spark, sf_dir, "documents").select("doc_id", "kb_id", F.coalesce("filename", F.lit("document")).alias("f"))
-    d = d.withColumn("r", F.row_number().over(Window.partitionBy("kb_id", F.lower("f")).orderBy("doc_id")))
+    d = numbered(d.withColumn("_g", F.struct("kb_id", F.lower("f"))), "_g", [F.col("doc_id")], "r").withColumn("r", F.col("r") + 1)
     stem, ext = F.regexp_extract("f", r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract("f", r"^(.*?)(\.[^.]*)?$", 2)
     return d.select("doc_id", F.when(F.col("r") == 1, F.col("f")).otherwise(F.concat(stem, F.lit("-"), F.col("r").cast("string"), ext)).alias("entry"))
 

@@ -1,6 +1,6 @@
 """Retrieval queries. In those named after all_questions every chunk of the documents whose id is
 divisible by 50 asks, with its whole content and a vector of any length, so work grows with the
-data. In the others each base asks once: with 300 characters of its first 64-number chunk.
+data. In the others each base asks once, with its first 64-number chunk.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from .base import query
 def _queries(spark, sf_dir):
     c = read(spark, sf_dir, "chunks").where("embedding_dim = 64 and embedding is not null")
     first = c.groupBy("kb_id").agg(F.min_by(F.struct("id", "embedding", "content"), "id").alias("s"))
-    return first.select("kb_id", F.col("s.id").alias("query_id"), F.substring("s.content", 1, 300).alias("query_text"), F.col("s.embedding").alias("query_vector"))
+    return first.select("kb_id", F.col("s.id").alias("query_id"), F.col("s.content").alias("query_text"), F.col("s.embedding").alias("query_vector"))
 
 
 def _all_questions(spark, sf_dir):
@@ -29,7 +29,7 @@ def _ranked(spark, sf_dir, k=6):
     return R.rank_by_base(read(spark, sf_dir, "chunks"), _queries(spark, sf_dir), k)
 
 
-_Q = """with q as (select kb_id, id as query_id, substr(content, 1, 300) as query_text, embedding as query_vector from (select *, row_number() over (partition by kb_id order by id) r
+_Q = """with q as (select kb_id, id as query_id, content as query_text, embedding as query_vector from (select *, row_number() over (partition by kb_id order by id) r
 from chunks where embedding_dim = 64 and embedding is not null) where r = 1),
 scored as (select c.kb_id, query_id, c.id as chunk_id, round(list_inner_product(c.embedding::double[], query_vector::double[]), 5) as score
 from chunks c join q using (kb_id) where len(c.embedding) = len(query_vector)),
@@ -65,11 +65,17 @@ _HYBRID = _RELATED + """, hybrid as (select query_id, chunk_id, score, rank from
 select query_id, chunk_id, score, 0 as s, rank from ranked union all select query_id, chunk_id, 0.0, 1, rank from related x where not exists (select 1 from ranked r where r.query_id = x.query_id and r.chunk_id = x.chunk_id))) where rank <= 6)"""
 
 
+def _first_vector(e) -> list[float]:
+    """The vector with id 0; without one an empty list, to which nothing is similar."""
+    row = e.where("vec_id = 0").first()
+    return list(row.embedding) if row and row.embedding else []
+
+
 @query("""select vec_id, round(list_inner_product(embedding::double[], (select embedding::double[] from embeddings where vec_id = 0)), 5) as score from embeddings order by score desc, vec_id limit 6""")
 def vector_topk(spark, sf_dir):
     """The vectors most like the first one."""
     e = read(spark, sf_dir, "embeddings")
-    return R.top_k(e, "vec_id", "embedding", list(e.where("vec_id = 0").first().embedding))
+    return R.top_k(e, "vec_id", "embedding", _first_vector(e))
 
 
 @query("""select query_id, vec_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from (
@@ -203,4 +209,4 @@ select label, n as members, round(s, 5) as score from (select label, sum(v * q)
 def community_topk(spark, sf_dir):
     """Groups whose mean vector is most like the query."""
     e = read(spark, sf_dir, "embeddings")
-    return R.community_top_k(e, "label", "embedding", list(e.where("vec_id = 0").first().embedding)).select("label", "members", "score")
+    return R.community_top_k(e, "label", "embedding", _first_vector(e)).select("label", "members", "score")
