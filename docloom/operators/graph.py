@@ -256,6 +256,20 @@ def community_ids(members: DataFrame, entities: DataFrame) -> DataFrame:
     return out.select("kb_id", name.alias("community_id"), "community", "member_count")
 
 
+def described(members: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """kb_id, community, title, summary, member_count (its entities)."""
+    e = entities.select(F.col("id").alias("entity_id"))
+    size = members.join(e, "entity_id").groupBy("kb_id", "community").agg(F.count(F.lit(1)).alias("member_count"))
+    return size.join(fallback_summaries(members, entities, relations), ["kb_id", "community"])
+
+
+def by_size(members: DataFrame, most: int = 100) -> DataFrame:
+    """kb_id, rank, community, member_count, first_member: a base's ``most`` largest communities, equal ones by their smallest member."""
+    size = members.groupBy("kb_id", "community").agg(F.count(F.lit(1)).alias("member_count"), F.min("entity_id").alias("first_member"))
+    order = Window.partitionBy("kb_id").orderBy(F.desc("member_count"), "first_member")
+    return size.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("kb_id", "rank", "community", "member_count", "first_member")
+
+
 def members(communities: DataFrame, entities: DataFrame) -> DataFrame:
     """kb_id, community, id, name, entity_type: one row per member that is an entity of the base."""
     e = entities.select("kb_id", F.col("id").alias("entity_id"), "name", F.coalesce("entity_type", F.lit(DEFAULT_TYPE)).alias("entity_type"))
@@ -277,15 +291,15 @@ def fallback_summaries(members: DataFrame, entities: DataFrame, relations: DataF
     taken first, so at most six lines of a community are gathered.
     """
     e = entities.select(F.col("id").alias("entity_id"), "name", F.coalesce("entity_type", F.lit(DEFAULT_TYPE)).alias("entity_type"), F.coalesce("description", F.lit("")).alias("description"))
-    m = members.join(e, "entity_id").withColumn("_r", F.row_number().over(Window.partitionBy("community").orderBy("name", "entity_id"))).where("_r <= 6")
+    m = members.join(e, "entity_id").withColumn("_r", F.row_number().over(Window.partitionBy("kb_id", "community").orderBy("name", "entity_id"))).where("_r <= 6")
     line = F.concat(F.lit("- "), "name", F.lit("（"), "entity_type", F.lit("）："), "description")
     m = m.groupBy("kb_id", "community").agg(_first("_r", "name", 3, "、").alias("title"), _first("_r", line, 6, "；").alias("_entities"))
     names = e.select("entity_id", "name")
-    r = internal_relations(members, relations).withColumn("_r", F.row_number().over(Window.partitionBy("community").orderBy(F.desc("weight"), "predicate", "id"))).where("_r <= 6")
+    r = internal_relations(members, relations).withColumn("_r", F.row_number().over(Window.partitionBy("kb_id", "community").orderBy(F.desc("weight"), "predicate", "id"))).where("_r <= 6")
     r = r.join(names.withColumnsRenamed({"entity_id": "source_id", "name": "_s"}), "source_id").join(names.withColumnsRenamed({"entity_id": "target_id", "name": "_t"}), "target_id")
     told = F.concat(F.lit("- "), "_s", F.lit(" —"), "predicate", F.lit("→ "), "_t", F.lit("："), "description")
-    r = r.groupBy("community").agg(_first("_r", told, 6, "；").alias("_relations"))
-    rows = m.join(r, "community", "left")
+    r = r.groupBy("kb_id", "community").agg(_first("_r", told, 6, "；").alias("_relations"))
+    rows = m.join(r, ["kb_id", "community"], "left")
     return rows.select("kb_id", "community", F.substring("title", 1, 80).alias("title"), F.substring(F.coalesce("_relations", "_entities"), 1, 2000).alias("summary"))
 
 

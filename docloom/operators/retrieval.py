@@ -176,8 +176,36 @@ def local(queries: DataFrame, ranked: DataFrame, entities: DataFrame, entity_chu
     return seeds, stage.put(local_facts(seeds, relations, entities))
 
 
-def search(mode: str, queries: DataFrame, chunks: DataFrame, entities: DataFrame, entity_chunks: DataFrame, relations: DataFrame, k: int = 6) -> DataFrame:
-    """The chunks of one mode: vector, graph_local (four vector seeds at most) or hybrid."""
+def community_vectors(members: DataFrame, entity_chunks: DataFrame, chunks: DataFrame) -> DataFrame:
+    """kb_id, community, embedding: the unit mean of the vectors of all chunks that mention a member, one for each vector length.
+
+    A chunk counts once in a community. Communities whose chunks have no vectors, or a mean
+    without length, have no row.
+    """
+    told = members.select("kb_id", "community", "entity_id").join(entity_chunks.select("entity_id", "chunk_id"), "entity_id").select("kb_id", "community", "chunk_id").distinct()
+    v = chunks.where("embedding is not null").select(F.col("id").alias("chunk_id"), F.size("embedding").alias("dim"), F.posexplode("embedding").alias("pos", "x"))
+    key = ["kb_id", "community", "dim"]
+    mean = told.join(v, "chunk_id").groupBy(*key, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    rows = mean.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("_v"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("_n"))
+    return rows.where("_n > 0").select("kb_id", "community", F.transform("_v", lambda x: x / F.col("_n")).alias("embedding"))
+
+
+def global_context(queries: DataFrame, communities: DataFrame, k: int = 4) -> DataFrame:
+    """query_id, rank, community, title, summary, member_count, score: each query's most similar communities of its base.
+
+    communities: kb_id, community, title, summary, member_count, embedding (null: left out).
+    """
+    found = rank_by_base(communities.select("kb_id", F.col("community").alias("id"), "embedding"), queries, k)
+    told = communities.select("kb_id", F.col("community").alias("chunk_id"), "title", "summary", "member_count").distinct()
+    return found.join(told, ["kb_id", "chunk_id"]).select("query_id", "rank", F.col("chunk_id").alias("community"), "title", "summary", "member_count", "score")
+
+
+def search(mode: str, queries: DataFrame, chunks: DataFrame, entities: DataFrame, entity_chunks: DataFrame, relations: DataFrame, k: int = 6, communities: DataFrame | None = None) -> DataFrame:
+    """The evidence of one mode: chunks for vector, graph_local (four vector seeds at most) and hybrid, communities for graph_global."""
+    if mode == "graph_global":
+        if communities is None:
+            raise ValueError("graph_global needs communities")
+        return global_context(queries, communities)
     if mode not in ("vector", "graph_local", "hybrid"):
         raise ValueError(f"unknown mode {mode}")
     ranked = rank_by_base(chunks, queries, k if mode != "graph_local" else min(4, k))
@@ -187,14 +215,30 @@ def search(mode: str, queries: DataFrame, chunks: DataFrame, entities: DataFrame
     return hybrid(ranked, related_chunks(seeds, facts, entity_chunks, k), k)
 
 
-def context(ranked: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """query_id, context: the numbered sources of an answer, joined in order of rank (k of them at most)."""
+#: What stands for the evidence where there is none (fixed value).
+NO_EVIDENCE = "（未检索到相关证据）"
+
+
+def context(queries: DataFrame, ranked: DataFrame, chunks: DataFrame, documents: DataFrame, facts: DataFrame | None = None, communities: DataFrame | None = None) -> DataFrame:
+    """query_id, context: an answer's numbered evidence, sources first, then facts and communities, each in order of rank.
+
+    There are few of each for a query. A query without any has NO_EVIDENCE.
+    """
     d = documents.select(F.col("doc_id").alias("document_id"), "filename")
     rows = ranked.select("query_id", "chunk_id", "rank").join(chunks.select(F.col("id").alias("chunk_id"), "document_id", "page_number", "content"), "chunk_id").join(d, "document_id")
     page = F.when(F.col("page_number") > 0, F.concat(F.lit("，第"), F.col("page_number").cast("string"), F.lit("页"))).otherwise("")
-    part = F.concat(F.lit("[来源"), F.col("rank").cast("string"), F.lit("] 文件："), F.coalesce("filename", F.lit("")), page, F.lit("\n"), F.coalesce("content", F.lit("")))
-    lines = F.sort_array(F.collect_list(F.struct("rank", part.alias("p"))))
-    return rows.groupBy("query_id").agg(F.array_join(F.transform(lines, lambda x: x["p"]), "\n\n").alias("context"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    line = F.concat(F.lit("[来源"), text("rank"), F.lit("] 文件："), text("filename"), page, F.lit("\n"), text("content"))
+    parts = rows.select("query_id", F.lit(0).alias("kind"), F.col("rank").cast("long").alias("rank"), line.alias("line"))
+    if facts is not None:
+        line = F.concat(F.lit("[图关系"), text("rank"), F.lit("] "), text("source"), F.lit(" —"), text("predicate"), F.lit("→ "), text("target"), F.lit("。"), text("description"))
+        parts = parts.unionByName(facts.select("query_id", F.lit(1).alias("kind"), F.col("rank").cast("long").alias("rank"), line.alias("line")))
+    if communities is not None:
+        line = F.concat(F.lit("[图社区"), text("rank"), F.lit("] "), text("title"), F.lit("（"), text("member_count"), F.lit(" 个实体）\n"), text("summary"))
+        parts = parts.unionByName(communities.select("query_id", F.lit(2).alias("kind"), F.col("rank").cast("long").alias("rank"), line.alias("line")))
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("kind", "rank", "line"))), lambda x: x["line"])
+    told = parts.groupBy("query_id").agg(F.array_join(lines, "\n\n").alias("context"))
+    return queries.select("query_id").join(told, "query_id", "left").select("query_id", F.coalesce("context", F.lit(NO_EVIDENCE)).alias("context"))
 
 
 def history(turns: DataFrame, last: int = 20, each: int = 6000, budget: int = 24_000) -> DataFrame:

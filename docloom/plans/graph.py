@@ -271,6 +271,21 @@ def community_members(spark, sf_dir):
     return _placed(G.members(G.communities(r), e), ["kb_id", "community"])
 
 
+@query("""with recursive ed as (select source_id a, target_id b from relationships where source_id is not null and target_id is not null union select target_id, source_id from relationships where source_id is not null and target_id is not null),
+reach(a, b) as (select a, a from ed union select r.a, ed.b from reach r join ed on ed.a = r.b), comp as (select a as node, min(b) as community from reach group by 1),
+m as (select e.kb_id, community, e.id, e.name, coalesce(e.entity_type, '概念') as entity_type from comp join entities e on e.id = node),
+g as (select *, row_number() over (partition by kb_id order by member_count desc, first_member) as rank from (select kb_id, community, count(*) as member_count, min(id) as first_member from m group by 1, 2))
+select kb_id, rank, community, member_count, row_number() over (partition by kb_id, community order by name nulls first, id) - 1 as position, id, name, entity_type from g join m using (kb_id, community) where rank <= 100""")
+def community_export(spark, sf_dir):
+    """A base's 100 largest communities (here connected components) by size and first member, with every member in order."""
+    r, e = _t(spark, sf_dir, "relationships", "entities")
+    found = components(r, "source_id", "target_id").select(F.col("node").alias("entity_id"), F.col("component").alias("community"))
+    found = found.join(e.select(F.col("id").alias("entity_id"), "kb_id"), "entity_id")
+    top = G.by_size(found)
+    rows = _placed(G.members(found, e).join(top.select("kb_id", "community"), ["kb_id", "community"], "left_semi"), ["kb_id", "community"])
+    return rows.join(top, ["kb_id", "community"]).select("kb_id", F.col("rank").cast("long").alias("rank"), "community", "member_count", "position", "id", "name", "entity_type")
+
+
 def _placed(rows, group):
     """``rows`` with position (from 0 by name and id) and members, the number of rows of the group."""
     rows = numbered(rows.withColumn("_g", F.struct(*group)), "_g", [F.col("name"), F.col("id")], "position")

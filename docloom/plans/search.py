@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docloom.operators import graph as G
 from docloom.operators import retrieval as R
+from docloom.operators.components import components
 from docloom.operators.ranking import numbered
-from docloom.tables import read
+from docloom.tables import Stage, read
 
 from .base import query
 
@@ -182,11 +184,65 @@ def hybrid_all_questions(spark, sf_dir):
     return R.search("hybrid", _all_questions(spark, sf_dir), *t).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(_Q + """ select query_id, string_agg('[来源' || rank || '] 文件：' || coalesce(d.filename, '') || case when c.page_number > 0 then '，第' || c.page_number || '页' else '' end || chr(10) || coalesce(c.content, ''), chr(10) || chr(10) order by rank) as context
-from ranked r join chunks c on c.id = r.chunk_id join documents d on d.doc_id = c.document_id group by 1""")
+# Connected components stand for communities where SQL must say the same; label propagation has no SQL.
+_PARTS = """, ed as (select source_id a, target_id b from rel union select target_id, source_id from rel), reach(a, b) as (select a, a from ed union select r.a, ed.b from reach r join ed on ed.a = r.b),
+comp as (select a as node, min(b) as community from reach group by 1),
+memb as (select e.kb_id, community, e.id, e.name, coalesce(e.entity_type, '概念') as entity_type, coalesce(e.description, '') as description, row_number() over (partition by e.kb_id, community order by e.name nulls first, e.id) as r from comp join entities e on e.id = node),
+up as (select kb_id, source_id, target_id, predicate, arg_min(id, (created_at, id)) as id, max(weight) as weight, arg_min(description, (-length(description), created_at, id)) as description from rel group by 1, 2, 3, 4),
+inner_rel as (select u.*, s.community, sn.name as sname, tn.name as tname, row_number() over (partition by u.kb_id, s.community order by weight desc, predicate, u.id) as r
+from up u join comp s on s.node = source_id join comp t on t.node = target_id and t.community = s.community join entities sn on sn.id = source_id join entities tn on tn.id = target_id),
+told as (select kb_id, community, string_agg('- ' || sname || ' —' || predicate || '→ ' || tname || '：' || description, '；' order by r) as s from inner_rel where r <= 6 group by 1, 2),
+titled as (select kb_id, community, count(*) as member_count, substr(string_agg(name, '、' order by r) filter (where r <= 3), 1, 80) as title,
+string_agg('- ' || name || '（' || entity_type || '）：' || description, '；' order by r) filter (where r <= 6) as ents from memb group by 1, 2),
+descr as (select t.kb_id, t.community, title, member_count, substr(coalesce(told.s, ents), 1, 2000) as summary from titled t left join told on told.kb_id = t.kb_id and told.community = t.community),
+heard as (select distinct kb_id, community, chunk_id from memb join entity_chunks x on x.entity_id = memb.id),
+vals as (select h.kb_id, community, unnest(range(64)) as i, unnest(c.embedding::double[]) as v from heard h join chunks c on c.id = h.chunk_id where len(c.embedding) = 64),
+means as (select kb_id, community, i, avg(v) as v from vals group by 1, 2, 3), sizes as (select kb_id, community, sqrt(sum(v * v)) as n from means group by 1, 2),
+asked as (select kb_id, query_id, unnest(range(64)) as i, unnest(query_vector::double[]) as x from q),
+near as (select a.query_id, m.kb_id, m.community, round(sum(a.x * m.v / n), 5) as score from asked a join means m on m.kb_id = a.kb_id and m.i = a.i join sizes z on z.kb_id = m.kb_id and z.community = m.community where n > 0 group by 1, 2, 3),
+world as (select * from (select query_id, row_number() over (partition by query_id order by score desc, near.community) as rank, near.community, title, summary, member_count, score from near join descr using (kb_id, community)) where rank <= 4)"""
+_REL_ALL = _FACTS.replace("with q as", "with recursive q as", 1).replace("rel as (select distinct on (id) id, source_id", "rel as (select distinct on (id) id, kb_id, created_at, source_id")
+
+
+def _communities(spark, sf_dir):
+    c, e, x, r = (read(spark, sf_dir, n) for n in ("chunks", "entities", "entity_chunks", "relationships"))
+    both = G.clean_relations(r)
+    m = components(both, "source_id", "target_id").select(F.col("node").alias("entity_id"), F.col("component").alias("community"))
+    m = Stage(spark, "groups").put(m.join(e.select(F.col("id").alias("entity_id"), "kb_id"), "entity_id"))
+    v = R.community_vectors(m, x, c)
+    return G.described(m, e, r).join(v, ["kb_id", "community"], "left")
+
+
+@query(_REL_ALL + _PARTS + " select query_id, rank, community, title, member_count, score, md5(summary) as summary from world")
+def global_search(spark, sf_dir):
+    """R4, R8 (graph_global): the communities (here connected components) most like each question."""
+    t = [read(spark, sf_dir, n) for n in ("chunks", "entities", "entity_chunks", "relationships")]
+    found = R.search("graph_global", _queries(spark, sf_dir), *t, communities=_communities(spark, sf_dir))
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "community", "title", "member_count", "score", F.md5("summary").alias("summary"))
+
+
+@query()
+def global_search_communities(spark, sf_dir):
+    """R4, R8 (graph_global) over the communities that label propagation finds, for every question."""
+    c, e, x, r = (read(spark, sf_dir, n) for n in ("chunks", "entities", "entity_chunks", "relationships"))
+    m = Stage(spark, "groups").put(G.communities(r))
+    told = G.described(m, e, r).join(R.community_vectors(m, x, c), ["kb_id", "community"], "left")
+    return R.search("graph_global", _all_questions(spark, sf_dir), c, e, x, r, communities=told)
+
+
+@query(_REL_ALL + _PARTS + """, parts as (
+select query_id, 0 as kind, rank, '[来源' || rank || '] 文件：' || coalesce(d.filename, '') || case when c.page_number > 0 then '，第' || c.page_number || '页' else '' end || chr(10) || coalesce(c.content, '') as line
+from ranked r join chunks c on c.id = r.chunk_id join documents d on d.doc_id = c.document_id
+union all select query_id, 1, rank, '[图关系' || rank || '] ' || coalesce(source, '') || ' —' || predicate || '→ ' || coalesce(target, '') || '。' || description from facts
+union all select query_id, 2, rank, '[图社区' || rank || '] ' || coalesce(title, '') || '（' || member_count || ' 个实体）' || chr(10) || coalesce(summary, '') from world)
+select q.query_id, coalesce(string_agg(line, chr(10) || chr(10) order by kind, rank), '（未检索到相关证据）') as context from q left join parts using (query_id) group by 1""")
 def search_context(spark, sf_dir):
-    """Numbered sources for an answer."""
-    return R.context(_ranked(spark, sf_dir), read(spark, sf_dir, "chunks"), read(spark, sf_dir, "documents"))
+    """Numbered sources, facts and communities for an answer; also that there are none."""
+    c, d, e, x, r = (read(spark, sf_dir, n) for n in ("chunks", "documents", "entities", "entity_chunks", "relationships"))
+    q = Stage(spark, "questions").put(_queries(spark, sf_dir))
+    ranked = R.rank_by_base(c, q)
+    _, facts = R.local(q, ranked, e, x, r)
+    return R.context(q, ranked, c, d, facts, R.global_context(q, _communities(spark, sf_dir)))
 
 
 @query("""with t as (select kb_id as conversation, row_number() over (partition by kb_id order by created_at nulls first, doc_id) as turn,
