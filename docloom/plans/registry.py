@@ -1,4 +1,4 @@
 """All queries of the core."""
 
-from . import documents, graph, outputs, search, states  # noqa: F401
+from . import documents, extraction, graph, outputs, search, states  # noqa: F401
 from .base import QUERIES, SQL  # noqa: F401
