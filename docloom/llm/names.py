@@ -67,6 +67,9 @@ xiang 翔祥湘|xiao 晓肖萧崤|xie 谢解协|xin 欣心昕芯新信|xing 星
 yuan 源袁沅元媛塬园垣圆原苑|yue 悦月越岳乐约|yun 云韵|ze 泽择|zeng 曾|zhan 展|zhang 章张漳|zhao 赵昭沼|zhe 哲浙喆|zhen 真珍振贞臻|zheng 郑正|zhi 智芝志芷之质|zhong 钟中|zhou 舟周洲|zhu 朱竹珠|zhuo 卓|zi 子紫|zong 宗|zou 邹|zuo 左
 """
 
+#: Words that are one slip apart count as one from this Jaro-Winkler likeness and length on, without a fact that says so.
+SLIP, LONG = 0.93, 7
+
 _SIMPLE = str.maketrans(_SIMPLER)
 _FORMAL = {n: line.split()[0] for line in reversed(_NICKNAMES.replace("\n", " ").split(";")) for n in line.split()}
 _GIVEN = {*_FORMAL.values()}
@@ -338,23 +341,32 @@ def surname_keys(p: dict) -> list[str]:
 # --- comparison --------------------------------------------------------------------------
 
 
-def _word(a: str, b: str) -> float:
+def _word(a: str, b: str, known: bool = False) -> float:
     """Likeness of two words; an abbreviation with a point is like the word it begins.
 
-    More than a slip apart, words are never as like as 0.9."""
+    Jaro-Winkler decides: SLIP and more is one word, in words of LONG letters or more that are
+    one slip apart or sound alike. Shorter words and lower values pass (0.92) only where the
+    rest is ``known`` to agree, by a fact that both descriptions state. Two given names are two words.
+    """
     if a == b:
         return 1.0
     x, y = a.rstrip("."), b.rstrip(".")
     if a != x and y.startswith(x[:-1]) and len(x) >= 3 or b != y and x.startswith(y[:-1]) and len(y) >= 3:
         return 0.95
+    like = jaro_winkler(x, y)
+    if x in _GIVEN and y in _GIVEN:
+        return min(0.85, like)
     if min(len(x), len(y)) >= 4 and (one_edit(x, y) or phonetic(x) == phonetic(y)):
-        return max(0.92, jaro_winkler(x, y))
-    return min(0.89, jaro_winkler(x, y))
+        if known:
+            return max(0.92, like)
+        if like >= SLIP and max(len(x), len(y)) >= LONG:
+            return like
+    return min(0.89, like)
 
 
-def _paired(a: list[str], b: list[str]) -> tuple[float, list[str], list[str]]:
+def _paired(a: list[str], b: list[str], known: bool = False) -> tuple[float, list[str], list[str]]:
     """(least likeness of the pairs, words left on either side) of the best greedy pairing."""
-    options = sorted(((_word(x, y), i, j) for i, x in enumerate(a) for j, y in enumerate(b)), reverse=True)
+    options = sorted(((_word(x, y, known), i, j) for i, x in enumerate(a) for j, y in enumerate(b)), reverse=True)
     mine, other, least = set(), set(), 1.0
     for s, i, j in options:
         if i not in mine and j not in other and s >= 0.86:
@@ -413,7 +425,7 @@ def _same_person(a: dict, b: dict, said: int) -> int:
         return 0
     x, y = a["tokens"], b["tokens"]
     full_x, full_y = [w for w in x if len(w) > 1], [w for w in y if len(w) > 1]
-    least, rest_x, rest_y = _paired(full_x, full_y)
+    least, rest_x, rest_y = _paired(full_x, full_y, said > 0)
     letters_x, letters_y = [w for w in x if len(w) == 1], [w for w in y if len(w) == 1]
     if not least:
         return 0
@@ -446,15 +458,15 @@ def _same_org(a: dict, b: dict, said: int) -> int:
     if a["more"].startswith("~") or b["more"].startswith("~"):
         s, t = (a, b) if a["more"].startswith("~") else (b, a)
         if t["more"].startswith("~"):
-            return 2 if s["more"] == t["more"] and _paired(s["tokens"], t["tokens"])[0] >= 0.92 else 0
-        best = max(((_word(s["tokens"][0], w), i) for i, w in enumerate(t["tokens"])), default=(0, 0)) if s["tokens"] else (0, 0)
+            return 2 if s["more"] == t["more"] and _paired(s["tokens"], t["tokens"], said > 0)[0] >= 0.92 else 0
+        best = max(((_word(s["tokens"][0], w, said > 0), i) for i, w in enumerate(t["tokens"])), default=(0, 0)) if s["tokens"] else (0, 0)
         rest = [w for i, w in enumerate(t["tokens"]) if i != best[1]]
         initials = {"".join(w[0] for w in rest) + t["more"][0], "".join(w[0] for w in t["tokens"]) + t["more"][0]}
         initials |= {x + "l" for x in initials if t["more"] == "company"}
         return 2 if best[0] >= 0.92 and s["more"][1:] in initials else 0
     if a["more"] != b["more"]:
         return 0
-    least, rest_x, rest_y = _paired(a["tokens"], b["tokens"])
+    least, rest_x, rest_y = _paired(a["tokens"], b["tokens"], said > 0)
     if least >= (0.86 if said > 0 else 0.9) and not rest_x and not rest_y:
         return 2
     x, y = "".join(a["tokens"]), "".join(b["tokens"])
