@@ -256,6 +256,16 @@ def community_ids(members: DataFrame, entities: DataFrame) -> DataFrame:
     return out.select("kb_id", name.alias("community_id"), "community", "member_count")
 
 
+def upkeep(before: DataFrame, now: DataFrame) -> DataFrame:
+    """kb_id, community_id, state of communities named by their content.
+
+    ``kept`` ones keep their summary and vector, ``new`` ones need both, ``stale`` ones are to be removed.
+    """
+    b, n = (x.select("kb_id", "community_id", F.lit(True).alias(c)) for x, c in ((before, "_b"), (now, "_n")))
+    rows = b.join(n, ["kb_id", "community_id"], "full")
+    return rows.select("kb_id", "community_id", F.when(F.col("_n").isNull(), "stale").when(F.col("_b").isNull(), "new").otherwise("kept").alias("state"))
+
+
 def described(members: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
     """kb_id, community, title, summary, member_count (its entities)."""
     e = entities.select(F.col("id").alias("entity_id"))

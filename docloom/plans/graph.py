@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from docloom.functions.embedding import embed, hashed_words
 from docloom.operators import graph as G
 from docloom.operators.components import components
 from docloom.operators.ranking import numbered
-from docloom.tables import read
+from docloom.tables import Stage, read
 
 from .base import TRIM, W, query, stamp
 
@@ -159,11 +160,23 @@ def graph_page_edges(spark, sf_dir):
     return _page(spark, sf_dir)[1].select("kb_id", "source_id", "target_id", "predicate", "id", "weight")
 
 
-@query(f"""with {_PAGE} select kb_id, n > 100 as entities_cut, n as entities from (select kb_id, count(*) n from entities group by 1)""")
+@query(f"""with recursive {_PAGE}, ed as (select source_id a, target_id b from rel union select target_id, source_id from rel), reach(a, b) as (select a, a from ed union select r.a, ed.b from reach r join ed on ed.a = r.b),
+comp as (select a as node, min(b) as community from reach group by 1), c as (select kb_id, count(distinct community) as communities from comp join entities e on e.id = node group by 1),
+n as (select kb_id, count(*) as entities from entities group by 1), r as (select kb_id, count(*) as relations from {_up()} group by 1), x as (select kb_id, count(*) as shown from edges group by 1)
+select n.kb_id, entities, least(entities, 100) as entities_shown, coalesce(relations, 0) as relations, coalesce(shown, 0) as relations_shown, coalesce(communities, 0) as communities, least(100, coalesce(communities, 0)) as communities_shown,
+entities > 100 or coalesce(relations, 0) > coalesce(shown, 0) or coalesce(communities, 0) > 100 as truncated from n left join r using (kb_id) left join x using (kb_id) left join c using (kb_id)""")
 def truncation_flags(spark, sf_dir):
-    """Whether a page shows less than there is."""
-    n = read(spark, sf_dir, "entities").groupBy("kb_id").agg(F.count(F.lit(1)).alias("entities"))
-    return n.select("kb_id", (F.col("entities") > 100).alias("entities_cut"), "entities")
+    """Whether a page of 100 entities, the relations among them and 100 communities (here connected components) shows less than there is."""
+    e, r = _t(spark, sf_dir, "entities", "relationships")
+    count = lambda df, name: df.groupBy("kb_id").agg(F.count(F.lit(1)).alias(name))
+    found = components(G.clean_relations(r), "source_id", "target_id").withColumnRenamed("node", "id").join(e.select("id", "kb_id"), "id").select("kb_id", "component").distinct()
+    rows = count(e, "entities")
+    for df, name in ((G.relation_upsert(r), "relations"), (_page(spark, sf_dir)[1], "relations_shown"), (found, "communities")):
+        rows = rows.join(count(df, name), "kb_id", "left")
+    rows = rows.fillna(0, ["relations", "relations_shown", "communities"])
+    rows = rows.withColumns({"entities_shown": F.least("entities", F.lit(100)), "communities_shown": F.least("communities", F.lit(100))})
+    cut = (F.col("entities") > F.col("entities_shown")) | (F.col("relations") > F.col("relations_shown")) | (F.col("communities") > F.col("communities_shown"))
+    return rows.select("kb_id", "entities", "entities_shown", "relations", "relations_shown", "communities", "communities_shown", cut.alias("truncated"))
 
 
 @query(f"""with {_PAGE}, deg as (select id, count(*) d from (select source_id id from edges union all select target_id from edges) group by 1),
@@ -235,12 +248,18 @@ def community_summaries(spark, sf_dir):
 
 @query()
 def changed_communities(spark, sf_dir):
-    """Communities that the newest tenth of the relations made or changed (an anti-join by content id)."""
+    """What the newest tenth of the relations made of the communities: kept, new (with the vector of the new summary) or stale."""
     r, e = _t(spark, sf_dir, "relationships", "entities")
     cut = r.select(F.percentile_approx(F.unix_timestamp("created_at"), 0.9).alias("cut"))
     old = r.join(cut, F.unix_timestamp("created_at") <= F.col("cut")).drop("cut")
-    before, now = (G.community_ids(G.communities(x), e) for x in (old, r))
-    return now.join(before.select("community_id"), "community_id", "left_anti")
+    stage = Stage(spark, "upkeep")
+    found = stage.put(G.communities(r))
+    now = stage.put(G.community_ids(found, e))
+    state = G.upkeep(G.community_ids(G.communities(old), e), now)
+    told = G.described(found, e, r).select("kb_id", "community", "title", "summary")
+    new = state.where("state = 'new'").join(now.select("kb_id", "community_id", "community"), ["kb_id", "community_id"]).join(told, ["kb_id", "community"])
+    vector = new.select("kb_id", "community_id", embed(F.concat_ws("\n", "title", "summary"), hashed_words()).alias("embedding"))
+    return state.join(vector, ["kb_id", "community_id"], "left").withColumn("embedding_dim", F.coalesce(F.size("embedding"), F.lit(0)))
 
 
 @query("""select kb_id, entity_type, count(*) as entities, count(name) as named, string_agg(name, '、' order by name, id) filter (where r <= 50) as first_names from (

@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 
 from docloom.operators.tables import IMAGES, READERS
 
-SCHEMA = "path string, filename string, sha256 string, page_number int, text string, error string"
+SCHEMA = "path string, filename string, sha256 string, section int, page_number int, text string, metadata string, error string"
 
-Section = tuple[int | None, str]
+#: Page number, text and, where there is any, metadata.
+Section = tuple[int | None, str] | tuple[int | None, str, dict[str, str]]
 
 
 def decode(raw: bytes) -> str:
@@ -40,22 +41,28 @@ class _Text(HTMLParser):
     def __init__(self):
         super().__init__()
         self.skip, self.parts = 0, []
+        self.titled, self.title = False, []
 
     def handle_starttag(self, tag, attrs):
-        self.skip += tag in ("script", "style", "noscript", "title")
+        self.skip += tag in ("script", "style", "noscript")
+        self.titled = tag == "title"
 
     def handle_endtag(self, tag):
-        self.skip -= tag in ("script", "style", "noscript", "title")
+        self.skip = max(0, self.skip - (tag in ("script", "style", "noscript")))
+        self.titled = self.titled and tag != "title"
 
     def handle_data(self, data):
-        if not self.skip and data.strip():
+        if self.titled:
+            self.title.append(data.strip())
+        elif not self.skip and data.strip():
             self.parts.append(data.strip())
 
 
 def _html(raw: bytes) -> list[Section]:
     parser = _Text()
     parser.feed(decode(raw))
-    return [(None, "\n".join(parser.parts))]
+    title = " ".join(filter(None, parser.title))
+    return [(None, "\n".join(parser.parts), {"title": title} if title else {})]
 
 
 def _csv(raw: bytes) -> list[Section]:
@@ -128,17 +135,23 @@ def sections(filename: str, raw: bytes, page_reader=None) -> list[Section]:
         raise ValueError(f"unsupported file type: {ext}")
     if kind not in _BY_READER and page_reader is None:
         raise ValueError(f"no reader for {ext} was given")
-    return [(p, t) for p, t in (_BY_READER.get(kind) or page_reader)(raw) if t.strip()]
+    return [s for s in (_BY_READER.get(kind) or page_reader)(raw) if s[1].strip()]
 
 
 def read_sections(spark: SparkSession, path: str, max_bytes: int = 50 << 20, page_reader=None) -> DataFrame:
-    """path, filename, sha256, page_number, text, error of every file below ``path``.
+    """path, filename, sha256, section (from 0), page_number, text, metadata (JSON), error of every file below ``path``.
 
-    Files over ``max_bytes`` are turned away without being read further. An unreadable file
-    has one row with an error of 1000 characters at most; one without text has none.
+    Files over ``max_bytes`` have one row with an error and no hash; only their size is looked at, the
+    scan leaves their content unread. An unreadable file has one row with an error of 1000
+    characters at most; one without text has none.
     """
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    data = found.select("path", F.sha2("content", 256).alias("sha256"), F.when(F.col("length") <= max_bytes, F.col("content")).alias("content"))
+    data = found.where(F.col("length") <= max_bytes).select("path", F.sha2("content", 256).alias("sha256"), "content")
+    name, none = F.regexp_extract("path", "([^/]*)$", 1), F.lit(None)
+    large = found.where(F.col("length") > max_bytes).select(
+        "path", name.alias("filename"), none.cast("string").alias("sha256"), none.cast("int").alias("section"), none.cast("int").alias("page_number"),
+        none.cast("string").alias("text"), none.cast("string").alias("metadata"), F.lit("ValueError: file too large").alias("error"),
+    )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -146,16 +159,15 @@ def read_sections(spark: SparkSession, path: str, max_bytes: int = 50 << 20, pag
             for where, digest, raw in batch.itertuples(index=False):
                 name = where.rpartition("/")[2]
                 try:
-                    if raw is None:
-                        raise ValueError("file too large")
-                    rows += [(where, name, digest, p, t, None) for p, t in sections(name, raw, page_reader)]
+                    for i, (page, text, *more) in enumerate(sections(name, raw, page_reader)):
+                        rows.append((where, name, digest, i, page, text, json.dumps(more[0] if more else {}, ensure_ascii=False), None))
                 except Exception as e:  # noqa: BLE001 - one bad file must not end the batch
-                    rows.append((where, name, digest, None, None, f"{type(e).__name__}: {e}"[:1000]))
+                    rows.append((where, name, digest, None, None, None, None, f"{type(e).__name__}: {e}"[:1000]))
             if rows:
-                out = pd.DataFrame(rows, columns=["path", "filename", "sha256", "page_number", "text", "error"])
-                yield out.astype({"page_number": "Int32"})
+                out = pd.DataFrame(rows, columns=["path", "filename", "sha256", "section", "page_number", "text", "metadata", "error"])
+                yield out.astype({"section": "Int32", "page_number": "Int32"})
 
-    return data.mapInPandas(run, SCHEMA)
+    return data.mapInPandas(run, SCHEMA).unionByName(large)
 
 
 def recognised(targets: DataFrame, recognise) -> DataFrame:

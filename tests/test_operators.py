@@ -1,8 +1,11 @@
 """Edge cases and brute-force checks of the core's operators."""
 
+import json
 import random
 import zipfile
+from xml.etree import ElementTree
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -253,22 +256,98 @@ def test_sources(spark, tmp_path):
     assert rows["a.docx", 0].text == "Hello\n表格 1\nx | y"
     assert rows["b.pptx", 1].text == "One" and rows["b.pptx", 10].text == "Ten" and ("b.pptx", 2) not in rows
     assert rows["c.xlsx", 0].text == "v |  | 2" and rows["d.txt", 0].text == "中文"
-    assert rows["e.html", 0].text == "Hi\nyou" and rows["f.csv", 0].text == "a | b\nc|1 | d"
+    assert rows["e.html", 0].text == "Hi\nyou" and rows["e.html", 0].metadata == '{"title": "T"}' and rows["f.csv", 0].text == "a | b\nc|1 | d"
     assert rows["g.json", 0].text == '{\n  "k": [\n    1\n  ]\n}'
     assert rows["h.json", 0].error and rows["i.exe", 0].error
+    small = {r.filename: r.error for r in files.read_sections(spark, str(tmp_path), max_bytes=10).collect()}
+    assert "too large" in small["e.html"] and small["d.txt"] is None
 
 
 def test_exports(spark, tmp_path):
     from docloom.exports import lines
 
-    nodes = spark.createDataFrame([("k", "1", 'A "<&', "组织", 1), ("k", "2", "B", None, 2)], "kb_id string, id string, name string, entity_type string, rank int")
-    edges = spark.createDataFrame([("k", "e", "1", "2", "p|q", 1.5)], "kb_id string, id string, source_id string, target_id string, predicate string, weight double")
-    g = [r.line for r in lines.graphml(nodes, edges).orderBy("part", "id").collect()]
-    assert g[0] == '<node id="1"><data key="name">A &quot;&lt;&amp;</data><data key="type">组织</data></node>' and g[2].startswith('<edge id="e" source="1" target="2">')
-    assert [r.line for r in lines.mermaid(nodes, edges).orderBy("part", "rank").collect()] == ["  n0[\"A '<&\"]", '  n1["B"]', "  n0 -->|p/q| n1"]
-    assert lines.svg(nodes, edges).count() == 3 and lines.gexf(nodes, edges).count() == 3
+    nodes = spark.createDataFrame([("k", "1", 'A "<&', "组织", "x", 1, 3), ("k", "2", "B", None, None, 2, 0), ("z", "3", "C", "t", "", 1, 0)], "kb_id string, id string, name string, entity_type string, description string, rank int, mention_count int")
+    edges = spark.createDataFrame([("k", "e", "1", "2", "p|q", None, 1.5)], "kb_id string, id string, source_id string, target_id string, predicate string, description string, weight double")
+    text = lambda df, kb: "\n".join(r.line for r in df.where(F.col("kb_id") == kb).orderBy("part", "rank", "id").collect())
+    for make in (lines.graphml, lines.gexf, lines.svg):
+        for kb, n, e in (("k", 2, 1), ("z", 1, 0)):
+            tags = [x.tag.rpartition("}")[2] for x in ElementTree.fromstring(text(make(nodes, edges), kb).encode()).iter()]
+            assert (tags.count("node") or tags.count("circle")) == n and (tags.count("edge") or tags.count("line")) == e
+            assert tags.count("key") == (5 if make is lines.graphml else 0) and (make is not lines.svg or tags.count("text") == n)
+    g = json.loads(text(lines.graph_json(nodes, edges), "k"))
+    assert [n["name"] for n in g["nodes"]] == ['A "<&', "B"] and g["edges"][0]["weight"] == 1.5 and json.loads(text(lines.graph_json(nodes, edges), "z"))["edges"] == []
+    assert [r.line for r in lines.mermaid(nodes, edges).where("kb_id = 'k'").orderBy("part", "rank").collect()] == ["  n0[\"A '<&\"]", '  n1["B"]', "  n0 -->|p/q| n1"]
+    m = text(lines.graph_markdown(spark.createDataFrame([("k", "Base")], "kb_id string, title string"), nodes, edges), "k")
+    assert m.startswith("# Base · 知识图谱\n\n- 实体：2\n- 关系：1") and "- **B**（）：—" in m and m.endswith('- **A "<&** —p|q→ **B**（权重 1.5）：—')
     lines.write(lines.graphml(nodes, edges), str(tmp_path / "out"))
-    assert spark.read.text(str(tmp_path / "out")).count() == 3
+    assert spark.read.text(str(tmp_path / "out")).where("kb_id = 'k'").count() == 8 + 2 + 1 + 2
+    lines.write_csv(nodes.select("id", "name"), str(tmp_path / "csv"))
+    assert {r["name"] for r in spark.read.csv(str(tmp_path / "csv"), header=True, escape='"').collect()} == {'A "<&', "B", "C"}
+    lines.snapshot({"nodes": nodes, "edges": edges}, str(tmp_path / "all"))
+    assert spark.read.json(str(tmp_path / "all" / "nodes")).where("kb_id = 'k'").count() == 2
+
+
+def test_answers_to_logs(spark):
+    from docloom.operators import extraction
+
+    e = [{"name": f"N{i}", "type": "t"} for i in range(14)]
+    texts = {
+        "fence": '```json\n{"entities": [{"name": "  Big   Pump ", "type": null, "description": "d"}, "odd", {"type": "t"}, {"name": " "}], "relationships": [{"source": "BIG PUMP", "target": "Valve"}]}\n```',
+        "prose": 'Sure: {"entities": {}, "relationships": [{"source": "A", "target": "a "}, {"source": "A", "target": "B", "predicate": " x  y ", "weight": "99"}, {"source": "A", "target": "B", "weight": "many"}, {"source": "", "target": "B"}, {"source": "C", "target": "D", "predicate": " "}, 5]}',
+        "many": json.dumps({"entities": e, "relationships": [{"source": "N0", "target": f"N{i}"} for i in range(20)]}),
+        "list": "[1, 2]", "cut": '{"entities": [{"name": "A"', "none": None, "empty": "",
+    }
+    df = spark.createDataFrame([("k", c, t, "z") for c, t in texts.items()], "kb_id string, chunk_id string, answer string, id string")
+    assert {r.chunk_id for r in extraction.parsed(df).where("valid").collect()} == {"fence", "prose", "many"}
+    entities, relations = extraction.logs(df)
+    got = {(r.chunk_id, r.name): (r.entity_type, r.mentioned) for r in entities.collect()}
+    assert got["fence", "Big Pump"] == ("概念", True) and got["fence", "Valve"] == ("概念", False) and got["prose", "A"] == ("概念", False)
+    assert {n for c, n in got if c == "fence"} == {"Big Pump", "Valve"} and {n for c, n in got if c == "prose"} == {"A", "B"}
+    assert sum(c == "many" and m for (c, _), (_, m) in got.items()) == 12
+    r = [(x.predicate, x.weight) for x in relations.where("chunk_id = 'prose'").orderBy("position").collect()]
+    assert r == [("x y", 10.0), ("相关", 1.0)] and relations.where("chunk_id = 'many'").count() == 17
+    assert entities.where("chunk_id = 'fence' and position >= 12").count() == 1
+    assert all(x.count() == 0 for x in extraction.logs(df.limit(0)))
+
+
+def test_community_upkeep_and_ids(spark):
+    e = spark.createDataFrame([(str(i), f"n{i}", "t") for i in range(6)], "id string, name string, entity_type string")
+    m = spark.createDataFrame([("k", str(i), "a" if i < 3 else "b") for i in range(6)], "kb_id string, entity_id string, community string")
+    before, now = graph.community_ids(m, e), graph.community_ids(m.where("entity_id <> '5'"), e.repartition(3))
+    a = {r.community: r.community_id for r in before.collect()}
+    b = {r.community: r.community_id for r in now.collect()}
+    assert a["a"] == b["a"] and a["b"] != b["b"]
+    assert {(r.community_id, r.state) for r in graph.upkeep(before, now).collect()} == {(a["a"], "kept"), (a["b"], "stale"), (b["b"], "new")}
+    assert [(r.rank, r.community, r.member_count) for r in graph.by_size(m.where("entity_id <> '0'")).orderBy("rank").collect()] == [(1, "b", 3), (2, "a", 2)]
+
+
+def test_global_search_and_context(spark):
+    q = spark.createDataFrame([("k", "q1", "x", [1.0, 0.0]), ("k", "q3", "x", [0.0, 0.0, 1.0]), ("none", "q2", "x", [1.0, 0.0])], "kb_id string, query_id string, query_text string, query_vector array<double>")
+    members = spark.createDataFrame([("k", "a", "e1"), ("k", "a", "e2"), ("k", "b", "e3"), ("k", "c", "e4")], "kb_id string, community string, entity_id string")
+    mentions = spark.createDataFrame([("e1", "c1", 1), ("e2", "c1", 5), ("e2", "c2", 1), ("e3", "c3", 1), ("e4", "c4", 1)], "entity_id string, chunk_id string, mention_count long")
+    chunks = spark.createDataFrame([("c1", "k", 1, None, "one", [1.0, 0.0]), ("c2", "k", 1, 3, "two", [0.0, 1.0]), ("c3", "k", 1, 0, "three", [0.6, 0.8]), ("c4", "k", 1, None, "four", None)], "id string, kb_id string, document_id long, page_number long, content string, embedding array<float>")
+    v = {r.community: r.embedding for r in retrieval.community_vectors(members, mentions, chunks).collect()}
+    assert {*v} == {"a", "b"} and v["a"] == pytest.approx([0.5**0.5] * 2) and v["b"] == pytest.approx([0.6, 0.8])
+    told = spark.createDataFrame([("k", c, f"T{c}", f"S{c}", 2) for c in "abc"], "kb_id string, community string, title string, summary string, member_count long")
+    told = told.join(retrieval.community_vectors(members, mentions, chunks), ["kb_id", "community"], "left")
+    found = retrieval.search("graph_global", q, chunks, None, None, None, communities=told)
+    assert [(r.query_id, r["rank"], r.community, r.score) for r in found.orderBy("query_id", "rank").collect()] == [("q1", 1, "a", 0.70711), ("q1", 2, "b", 0.6)]
+    with pytest.raises(ValueError):
+        retrieval.search("graph_global", q, chunks, None, None, None)
+    facts = spark.createDataFrame([("q1", 1, "A", "B", "p", "d")], "query_id string, rank int, source string, target string, predicate string, description string")
+    docs = spark.createDataFrame([(1, "f.txt")], "doc_id long, filename string")
+    out = {r.query_id: r.context for r in retrieval.context(q, retrieval.rank_by_base(chunks, q, 2), chunks, docs, facts, found).collect()}
+    assert out["q1"] == "[来源1] 文件：f.txt\none\n\n[来源2] 文件：f.txt\nthree\n\n[图关系1] A —p→ B。d\n\n[图社区1] Ta（2 个实体）\nSa\n\n[图社区2] Tb（2 个实体）\nSb"
+    assert out["q2"] == out["q3"] == retrieval.NO_EVIDENCE
+
+
+def test_blocks_of_queries(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=3 if i % 4 else 2).tolist()) for i in range(150)] + [(900, None), (901, [])]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    q = df.where("id % 3 = 0 or id >= 900").select(F.col("id").alias("query_id"), F.col("v").alias("query_vector"))
+    one, many = ({tuple(r) for r in retrieval.batch_top_k(df, q, "id", "v", 4, block, ask).collect()} for block, ask in ((1000, 1000), (20, 7)))
+    assert one == many and len(one) == 50 * 4
 
 
 def test_ingest(spark, tmp_path):
@@ -281,6 +360,7 @@ def test_ingest(spark, tmp_path):
     docs, chunks = ingest.ingest(spark, str(tmp_path / "in"), "k1")
     assert {(r.filename, r.status) for r in docs.collect()} == {("a.txt", "ready"), ("b.json", "error")}
     rows = chunks.collect()
+    assert {r.metadata_json for r in rows} == {"{}"} and sorted(r.chunk_index for r in rows) == list(range(len(rows)))
     assert len(rows) > 3 and len({r.id for r in rows}) == len(rows) and all(abs(sum(x * x for x in r.embedding) - 1) < 1e-5 for r in rows)
     out = str(tmp_path / "out")
     ingest.store(chunks, out)
