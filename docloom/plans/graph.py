@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docloom.functions.embedding import embed, hashed_words
+from docloom.operators import alias
 from docloom.operators import graph as G
 from docloom.operators.components import components
 from docloom.operators.ranking import numbered
@@ -94,6 +95,18 @@ def match_quality(spark, sf_dir):
     return G.match_quality(*_t(spark, sf_dir, "matches", "entities"))
 
 
+@query()
+def alias_candidates(spark, sf_dir):
+    """Names of a base so like that a judge is to be asked, by the classes of `alias_classes` (tested against all pairs)."""
+    return alias.candidates(read(spark, sf_dir, "entities"))
+
+
+@query(f"""select kb_id, nn as normalized_name, coalesce(entity_type, '') as entity_type, min(id) as class_id, count(distinct id) as entities from (select *, {_NAME} as nn from entities) where length(nn) > 0 and kb_id is not null group by 1, 2, 3""")
+def alias_classes(spark, sf_dir):
+    """Entities of a base with one name and type, which stand in the candidates as one."""
+    return alias.name_classes(read(spark, sf_dir, "entities"))
+
+
 @query("""select least(left_id, right_id) as a, greatest(left_id, right_id) as b, arg_max(same_entity, (judged_at, pair_id)) as verdict, count(*) as answers, count_if(same_entity) as yes
 from matches where left_id is not null and right_id is not null and left_id <> right_id and same_entity is not null group by 1, 2""")
 def latest_verdicts(spark, sf_dir):

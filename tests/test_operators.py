@@ -1,5 +1,6 @@
 """Edge cases and brute-force checks of the core's operators."""
 
+import difflib
 import json
 import random
 import zipfile
@@ -310,6 +311,40 @@ def test_answers_to_logs(spark):
     assert all(x.count() == 0 for x in extraction.logs(df.limit(0)))
 
 
+def _similar(a, b):
+    ratio = difflib.SequenceMatcher(None, a, b).ratio()
+    short, long = sorted((a, b), key=len)
+    return ratio >= 0.72 or (len(short) >= 4 and short in long and ratio >= 0.55)
+
+
+def test_alias_candidates_are_all_of_them(spark):
+    from docloom.operators import alias
+
+    rnd = random.Random(3)
+    stems = ["pump station", "北桥水文大学", "keljoholm", "seed vault unit", "灌溉", "abcd", "aab", "x"]
+    names = [None, "", " "]
+    for _ in range(160):
+        n = list(rnd.choice(stems) + rnd.choice(["", "", " 2", " annex", "部", " of the north"]))
+        for _ in range(rnd.randrange(4)):
+            i = rnd.randrange(len(n) + 1)
+            n[i : i + rnd.randrange(2)] = rnd.choice("aeptx 水大")
+        names.append("".join(n))
+    rows = [(f"e{i:03}", rnd.choice("kz"), n, rnd.choice(["t", "u", None, "概念"])) for i, n in enumerate(names)]
+    df = spark.createDataFrame(rows, "id string, kb_id string, name string, entity_type string").withColumn("item", F.lit(1)).withColumn("a", F.lit(2))
+    plain = lambda n: " ".join((n or "").split()).lower()
+    want, first = set(), {}
+    for x, kb, n, t in rows:
+        first.setdefault((kb, plain(n), t or ""), x)
+    for i, (_, kb, n, t) in enumerate(rows):
+        for _, kb2, m, u in rows[i + 1 :]:
+            (a, p), (b, q) = sorted(((plain(n), first[kb, plain(n), t or ""]), (plain(m), first.get((kb, plain(m), u or "")))), key=lambda x: x[0])
+            if kb == kb2 and a and b and a != b and (t == u or {t, u} & {None, "概念"}) and _similar(a, b):
+                want.add((p, q))
+    got = [(r.left_id, r.right_id) for r in alias.candidates(df).collect()]
+    assert len(want) > 100 and len(got) == len(set(got)) and set(got) == want
+    assert alias.candidates(df.limit(0)).count() == 0
+
+
 def test_community_upkeep_and_ids(spark):
     e = spark.createDataFrame([(str(i), f"n{i}", "t") for i in range(6)], "id string, name string, entity_type string")
     m = spark.createDataFrame([("k", str(i), "a" if i < 3 else "b") for i in range(6)], "kb_id string, entity_id string, community string")
