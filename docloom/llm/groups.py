@@ -47,9 +47,9 @@ def connected_groups(links: DataFrame, left: str, right: str) -> DataFrame:
         return graph.select(F.col("u").alias("member"), F.col("v").alias("group"))
     known = seeds.select("member", F.col("member").alias("group"))
     for tree in reversed(forest):
-        # the parent left in a later round or is a seed, so its group is known by now
+        # the parent left in a later round or is a seed, so its group is known by now; only the new level is written
         below = tree.join(known.withColumnRenamed("member", "parent"), "parent").select("member", "group")
-        known = stage.put(known.unionByName(below))
+        known = known.unionByName(stage.put(below))
     return known
 
 
