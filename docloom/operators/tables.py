@@ -80,10 +80,14 @@ def extraction_method(chunks: DataFrame) -> DataFrame:
     return rows.withColumn("method", method)
 
 
+def in_order(wanted: DataFrame, chunks: DataFrame) -> DataFrame:
+    """query, pos, chunk_id, content of the chunks that rows (query, pos, chunk_id) name; unknown ones are left out."""
+    return wanted.join(chunks.select(F.col("id").alias("chunk_id"), "content"), "chunk_id").select("query", "pos", "chunk_id", "content")
+
+
 def lookup(keys: DataFrame, chunks: DataFrame) -> DataFrame:
     """Chunks in the order of an array of ids: (query, ids) -> query, pos, chunk_id, content."""
-    wanted = keys.select("query", F.posexplode("ids").alias("pos", "chunk_id"))
-    return wanted.join(chunks.select(F.col("id").alias("chunk_id"), "content"), "chunk_id").select("query", "pos", "chunk_id", "content")
+    return in_order(keys.select("query", F.posexplode("ids").alias("pos", "chunk_id")), chunks)
 
 
 def truncated(entities: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
@@ -119,9 +118,8 @@ def truncated_entities(spark, sf_dir):
 def chunks_in_asked_order(spark, sf_dir):
     """Rows in the order of an id list; here each document's chunks from the last to the first."""
     c = read(spark, sf_dir, "chunks")
-    wanted = c.groupBy(F.col("document_id").alias("query")).agg(F.sort_array(F.collect_list(F.struct((-F.col("chunk_index")).alias("o"), "id"))).alias("l"))
-    wanted = wanted.select("query", F.transform("l", lambda x: x["id"]).alias("ids"))
-    return tables.lookup(wanted, c).select("query", F.col("pos").cast("long").alias("pos"), "chunk_id", F.length("content").cast("long").alias("size"))
+    wanted = numbered(c.select(F.col("document_id").alias("query"), "chunk_index", F.col("id").alias("chunk_id")), "query", [F.desc("chunk_index"), F.col("chunk_id")], "pos")
+    return tables.in_order(wanted, c).select("query", F.col("pos").cast("long").alias("pos"), "chunk_id", F.length("content").cast("long").alias("size"))
 
 
 @query("select embedding_dim, count(*) as chunks, count(embedding) as with_vector, count(*) filter (where len(embedding) = embedding_dim) as fitting from chunks group by 1")
@@ -229,5 +227,6 @@ def quarantine_counts(spark, sf_dir):
 @query("select document_id, id as chunk_id, row_number() over (partition by document_id order by coalesce(page_number, 0), chunk_index, id) as reading_order from chunks")
 def sections_in_page_order(spark, sf_dir):
     """Sections by page, those without a page first, otherwise as they came."""
-    order = Window.partitionBy("document_id").orderBy(F.coalesce("page_number", F.lit(0)), "chunk_index", "id")
-    return read(spark, sf_dir, "chunks").select("document_id", F.col("id").alias("chunk_id"), F.row_number().over(order).cast("long").alias("reading_order"))
+    c = read(spark, sf_dir, "chunks").select("document_id", F.coalesce("page_number", F.lit(0)).alias("_page"), "chunk_index", F.col("id").alias("chunk_id"))
+    rows = numbered(c, "document_id", [F.col("_page"), F.col("chunk_index"), F.col("chunk_id")], "reading_order")
+    return rows.select("document_id", "chunk_id", (F.col("reading_order") + 1).alias("reading_order"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators import checkpoints as C
+from docloom.operators.ranking import numbered
 from docloom.streaming import ingest
 from docloom.tables import read
 
@@ -51,16 +52,14 @@ def late_rows(spark, sf_dir):
     return C.late_rows(read(spark, sf_dir, "graph_build_chunks"))
 
 
-@query("""select id as kb_id, case when graph_progress_total > 0 then least(100, round(100.0 * graph_progress_current / graph_progress_total))::bigint else 0 end as percent,
-coalesce(graph_progress_total, 0) - coalesce(graph_progress_current, 0) as unfinished, row_number() over (order by updated_at desc nulls last, id) as listed from knowledge_bases""")
+@query(f"""with {_LAST}, s as (select kb_id, count(*) as total, count_if(status in ('succeeded', 'failed')) as done, max(updated_at) as newest from last group by 1)
+select kb_id, least(100, round(100.0 * done / total))::bigint as percent, total - done as unfinished, row_number() over (order by newest desc nulls last, kb_id) as listed from s""")
 def progress_percent(spark, sf_dir):
-    """Stored progress; the fixed table of bases is listed by last change."""
-    from pyspark.sql import Window
-
-    k = read(spark, sf_dir, "knowledge_bases")
-    listed = F.row_number().over(Window.orderBy(F.desc_nulls_last("updated_at"), "id")).cast("long")
-    left = F.coalesce("graph_progress_total", F.lit(0)) - F.coalesce("graph_progress_current", F.lit(0))
-    return k.select(F.col("id").alias("kb_id"), T.progress_percent(F.col("graph_progress_current"), F.col("graph_progress_total")).alias("percent"), left.alias("unfinished"), listed.alias("listed"))
+    """Each base's progress by its build log, bases listed by their last change."""
+    s = F.col("status").isin("succeeded", "failed")
+    rows = _latest(spark, sf_dir).groupBy("kb_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(s).alias("done"), F.max("updated_at").alias("newest"))
+    rows = numbered(rows.withColumn("_all", F.lit(0)), "_all", [F.desc_nulls_last("newest"), F.col("kb_id")], "listed")
+    return rows.select("kb_id", T.progress_percent(F.col("done"), F.col("total")).alias("percent"), (F.col("total") - F.col("done")).alias("unfinished"), (F.col("listed") + 1).alias("listed"))
 
 
 @query("select attempts, status, count(*) as rows, count(distinct kb_id) as bases from graph_build_chunks group by 1, 2")
@@ -75,6 +74,13 @@ def stream_counts(spark, sf_dir):
     return ingest.counts(spark, f"{sf_dir}/events.parquet")
 
 
+@query("""with w as (select id, unnest(l) as w, generate_subscripts(l, 1) as i from (select id, regexp_extract_all(content, '[A-Z][a-z]{3,}') as l from chunks where content is not null)),
+f as (select id, w, row_number() over (partition by id order by min(i)) as r from w group by 1, 2) select id as chunk_id, lower(w) as name from f where r <= 12""")
+def streamed_extraction(spark, sf_dir):
+    """Chunks taken by a stream in waves, each answered by an extractor (here capitalised words) and read into the entity log."""
+    return ingest.extracted(spark, f"{sf_dir}/chunks.parquet", ingest.capitalised).select("chunk_id", F.col("normalized_name").alias("name"))
+
+
 @query("select strftime(time_bucket(interval '1 hour', ts), '%Y-%m-%d %H:%M:%S') as hour, event_type, count(*) as events from events group by 1, 2")
 def stream_windows(spark, sf_dir):
     """Hourly windows with a watermark, by a stream."""

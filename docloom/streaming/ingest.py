@@ -5,11 +5,16 @@ Results go to a table in the shared folder, so they survive the query and any ex
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.operators.extraction import logs
 from docloom.tables import shared_dir
 
 
@@ -66,3 +71,20 @@ def extraction_waves(chunks: DataFrame, extract, out: str, state: str):
         rows.write.mode("overwrite").parquet(f"{out}/wave={number}")
 
     return chunks.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(store).start()
+
+
+def capitalised(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """An extractor without a model: the capitalised words of a chunk as an answer's entities, in order of appearance."""
+    for batch in batches:
+        items = [json.dumps({"entities": [{"name": w} for w in dict.fromkeys(re.findall("[A-Z][a-z]{3,}", text or ""))]}) for text in batch["content"]]
+        yield pd.DataFrame({"chunk_id": batch["chunk_id"], "item": items})
+
+
+def extracted(spark: SparkSession, path: str, extract) -> DataFrame:
+    """The entity log of all chunks at ``path``: waves of answers in the shared folder, then read as `operators.extraction` does."""
+    base = f"{shared_dir(spark)}/waves-{uuid.uuid4().hex}"
+    chunks = source(spark, path).select("kb_id", F.col("id").alias("chunk_id"), "content").where("content is not null")
+    extraction_waves(chunks, extract, f"{base}/log", f"{base}/state").awaitTermination()
+    log = spark.read.schema("chunk_id string, item string, wave int").parquet(f"{base}/log")
+    place = spark.read.parquet(path).select(F.col("id").alias("chunk_id"), "kb_id")
+    return logs(log.join(place, "chunk_id").select("kb_id", "chunk_id", F.col("item").alias("answer")))[0]
