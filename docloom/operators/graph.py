@@ -158,22 +158,26 @@ def _propagate(edges: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"kb_id": edges["kb_id"].iloc[0], "entity_id": list(label), "community": list(label.values())})
 
 
-def communities(relations: DataFrame) -> DataFrame:
+def communities(relations: DataFrame, entities: DataFrame | None = None) -> DataFrame:
     """kb_id, entity_id, community (a member's id) by label propagation.
 
-    The update order matters only inside a connected component, so components are the unit
-    of work. Those too large for a task (LPA_TASK_EDGES) take the same updates level by level.
+    With ``entities`` those without a relation are there too, each a community of its own. The
+    update order matters only inside a connected component, so components are the unit of work.
+    Those too large for a task (LPA_TASK_EDGES) take the same updates level by level.
     """
     stage = Stage(relations.sparkSession, "communities")
     adj = stage.put(adjacency(relations))
     parts = stage.put(components(adj.where("node < neighbour"), "node", "neighbour"))
     size = adj.join(parts, "node").groupBy("component").agg(F.count(F.lit(1)).alias("_edges"))
     rows = adj.join(parts.join(size, "component"), "node")
-    small = rows.where(F.col("_edges") <= LPA_TASK_EDGES).groupBy("kb_id", "component").applyInPandas(_propagate, "kb_id string, entity_id string, community string")
-    if size.where(F.col("_edges") > LPA_TASK_EDGES).isEmpty():
-        return small
-    large = rows.where(F.col("_edges") > LPA_TASK_EDGES).select("kb_id", "node", "neighbour", "weight")
-    return small.unionByName(levelled_labels(large))
+    out = rows.where(F.col("_edges") <= LPA_TASK_EDGES).groupBy("kb_id", "component").applyInPandas(_propagate, "kb_id string, entity_id string, community string")
+    if not size.where(F.col("_edges") > LPA_TASK_EDGES).isEmpty():
+        large = rows.where(F.col("_edges") > LPA_TASK_EDGES).select("kb_id", "node", "neighbour", "weight")
+        out = out.unionByName(levelled_labels(large))
+    if entities is not None:
+        alone = entities.select("kb_id", F.col("id").alias("entity_id")).distinct().join(parts.select(F.col("node").alias("entity_id")), "entity_id", "left_anti")
+        out = out.unionByName(alone.select("kb_id", "entity_id", F.col("entity_id").alias("community")))
+    return out
 
 
 def levelled_labels(adj: DataFrame, passes: int = LPA_PASSES) -> DataFrame:

@@ -235,14 +235,14 @@ def graph_components(spark, sf_dir):
 @query()
 def graph_communities(spark, sf_dir):
     """Label propagation (tested against a plain version)."""
-    return G.communities(read(spark, sf_dir, "relationships"))
+    return G.communities(*_t(spark, sf_dir, "relationships", "entities"))
 
 
 @query()
 def community_ids(spark, sf_dir):
     """Communities named by a hash of their members, so an unchanged one keeps its name."""
     r, e = _t(spark, sf_dir, "relationships", "entities")
-    return G.community_ids(G.communities(r), e)
+    return G.community_ids(G.communities(r, e), e)
 
 
 @query()
@@ -300,7 +300,7 @@ def type_members(spark, sf_dir):
 def community_members(spark, sf_dir):
     """Every member of every community, one row each in order of name and id (tested against a plain version)."""
     r, e = _t(spark, sf_dir, "relationships", "entities")
-    return _placed(G.members(G.communities(r), e), ["kb_id", "community"])
+    return _placed(G.members(G.communities(r, e), e), ["kb_id", "community"])
 
 
 @query("""with recursive ed as (select source_id a, target_id b from relationships where source_id is not null and target_id is not null union select target_id, source_id from relationships where source_id is not null and target_id is not null),

@@ -115,6 +115,9 @@ def test_label_propagation_is_exact_by_component(spark):
     got = {r.entity_id: r.community for r in graph.communities(_relations(spark, pairs)).collect()}
     # relations of equal ends and predicate are one entry each in the log, weights add up
     assert got == _plain_labels(pairs)
+    e = spark.createDataFrame([("k", "e00"), ("k", "alone"), ("k", "alone")], "kb_id string, id string")
+    both = graph.communities(_relations(spark, [("e00", "e01", 1.0)]), e).collect()
+    assert {(r.entity_id, r.community) for r in both if r.entity_id != "e01"} == {("e00", "e01"), ("alone", "alone")} and len(both) == 3
 
 
 def test_labels_do_not_depend_on_size(spark, monkeypatch):
