@@ -158,7 +158,7 @@ def one_edit(a: str, b: str) -> bool:
 # --- parsing -----------------------------------------------------------------------------
 
 
-def parse(name: str | None, description: str | None = None) -> dict | None:
+def parse(name: str | None, description: str | None = None, wording: frozenset[str] = frozenset()) -> dict | None:
     """kind (person, org, thing, han_person, han_org), tokens, more (generation, type or acronym), numbers, facts."""
     if not name:
         return None
@@ -170,7 +170,7 @@ def parse(name: str | None, description: str | None = None) -> dict | None:
     latin = re.search(r"[^\W\d_㐀-鿿]", base)
     han = _HAN.search(base)
     numbers = [str(int(x)) for x in re.findall(r"\d+", re.sub(r"(?<=\d)[.](0+)(?!\d)", "", text)) if x.isascii()]
-    out = {"numbers": "-".join(numbers), "facts": facts(description), "more": ""}
+    out = {"numbers": "-".join(numbers), "facts": facts(description, wording), "more": ""}
     if han and not latin:
         return _parse_han(base, inner, out, text)
     if han:
@@ -249,33 +249,53 @@ def _chinese(tokens: list[str]) -> bool:
     return len(tokens) <= 3 and all(_syllables(w) for w in tokens)
 
 
-_FILLER = set(
-    "joined in as at since release of maintained by founded seat body with its organisation organization established product named the minutes a an and for from to item numbered series version".split()
-)
+# fixed values: English function words
+_STOP = set("a an and as at by for from in is its of on or since the to was with".split())
 
 
-def facts(description: str | None) -> list[str]:
-    """What a description states, in words and years, without the wording around it."""
+def facts(description: str | None, wording: frozenset[str] = frozenset()) -> list[str]:
+    """What a description states: years (y:), names (n:, capitalised words or Chinese places) and other words (w:), each but function words and ``wording``."""
     if not description:
         return []
     text = unicodedata.normalize("NFKC", description)
+    found = [f"y:{y}" for y in re.findall(r"(?<!\d)\d{4}(?!\d)", text)]
     if _HAN.search(text):
-        text = text.translate(_SIMPLE)
-        found = re.findall(r"\d{4}", text)
-        found += re.findall(r"[㐀-鿿]{2}[省市县区镇](?!\w*编号)", re.sub(r"成立|位于|设在|加入|年起|在|任|的|年", " ", text))
-        return sorted(set(found))
-    words = re.findall(r"[^\W\d_]+|\d{4}", text)
-    if "series" in words:
-        return []
-    return sorted({fold(w) for w in words if fold(w) not in _FILLER})
+        text = re.sub(r"成立|位于|设在|加入|年起|在|任|的|年", " ", text.translate(_SIMPLE))
+        return sorted({*found, *(f"n:{x}" for x in re.findall(r"[㐀-鿿]{2}[省市县区镇](?!\w*编号)", text))})
+    for w in re.findall(r"[^\W\d_]+", text):
+        plain = fold(w)
+        if plain not in _STOP and plain not in wording:
+            found.append(("n:" if w[0].isupper() else "w:") + plain)
+    return sorted(set(found))
+
 
+def agree(a: list[str], b: list[str], person: bool = True) -> int:
+    """1 if both state a common year or name and contradict each other in nothing, -1 if they contradict, 0 if one says too little.
 
-def agree(a: list[str], b: list[str]) -> int:
-    """1 if the smaller set of facts lies in the larger, -1 if not, 0 if one says too little."""
+    Years, names and, of a person, other words (the post) contradict if both state some and
+    none in common.
+    """
     if not a or not b or bool(_HAN.search("".join(a))) != bool(_HAN.search("".join(b))):
         return 0
-    a, b = set(a), set(b)
-    return 1 if a <= b or b <= a else -1
+    common = 0
+    for kind in ("y:", "n:", "w:") if person else ("y:", "n:"):
+        x, y = ({f for f in side if f.startswith(kind)} for side in (a, b))
+        if x and y:
+            if not x & y:
+                return -1
+            common += kind != "w:"
+    return 1 if common else 0
+
+
+def wording(entities: DataFrame, share: float = 0.08) -> frozenset[str]:
+    """The words that stand in at least ``share`` of all descriptions: how things are told, not what.
+
+    Counted over all rows; at most the mean number of words over ``share`` come to the driver.
+    """
+    told = entities.where("description is not null and description rlike '[A-Za-z]'").select(F.array_distinct(F.split(F.lower("description"), r"(?U)[^\p{L}]+")).alias("w"))
+    total = told.count()
+    often = told.select(F.explode("w").alias("w")).where("w <> ''").groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= share * total)
+    return frozenset(fold(r.w) for r in often.collect())
 
 
 # --- blocks ------------------------------------------------------------------------------
@@ -382,8 +402,8 @@ def same(a: dict, b: dict) -> int:
     """2: the same; 1: the same if nothing else fits; 0: no."""
     if a["numbers"] != b["numbers"]:
         return 0
-    said = agree(a["facts"], b["facts"])
     kinds = {a["kind"], b["kind"]}
+    said = agree(a["facts"], b["facts"], kinds <= {"person", "han_person"})
     if kinds == {"person"}:
         return _same_person(a, b, said)
     if kinds == {"org"}:
@@ -502,11 +522,13 @@ def forms(entities: DataFrame) -> DataFrame:
     """One row per entity with a usable name: its parsed form (as JSON in p) and block keys."""
     import json
 
+    usual = wording(entities)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for kb, i, name, described in batch.itertuples(index=False):
-                p = parse(name, described)
+                p = parse(name, described, usual)
                 if p is None or not p["tokens"]:
                     continue
                 keys, seek = block_keys(p)
