@@ -122,9 +122,10 @@ def entities_named_in_query(spark, sf_dir):
 
 
 def _local(spark, sf_dir):
-    e, x, r = (read(spark, sf_dir, n) for n in ("entities", "entity_chunks", "relationships"))
-    seeds = R.seed_entities(_ranked(spark, sf_dir), x, e).union(R.named_entities(_queries(spark, sf_dir), e)).distinct()
-    return seeds, R.local_facts(seeds, r, e), x
+    """(seeds, facts, mentions) of each base's question; the first two are written once."""
+    c, e, x, r = (read(spark, sf_dir, n) for n in ("chunks", "entities", "entity_chunks", "relationships"))
+    q = Stage(spark, "questions").put(_queries(spark, sf_dir))
+    return *R.local(q, R.rank_by_base(c, q), e, x, r), x
 
 
 @query(_FACTS + " select query_id, rank, id, source, target, predicate, weight from facts")
