@@ -15,6 +15,7 @@ Byte-range processing: an item of any size is a row per range of its text (or of
 from __future__ import annotations
 
 import bisect
+import contextlib
 import re
 import uuid
 from collections.abc import Iterator
@@ -28,6 +29,8 @@ from docloom.tables import Stage, shared_dir
 LIMIT, OVERLAP = 900, 160
 #: Code points of a text range and bytes of a file range; any size gives pieces within the limit.
 TEXT_RANGE, FILE_RANGE = 65_536, 4 << 20
+#: File ranges that a task reads one after the other.
+TASK_RANGES = 32
 
 _PARAGRAPH = re.compile(r"\n\s*\n")
 _SENTENCE = re.compile(r"[。！？；]+[」』”’）)]*\s*|[.!?;]+[\"'”’)]*(?:\s+|$)|\n")
@@ -62,7 +65,9 @@ def file_ranges(spark: SparkSession, path: str, size: int = FILE_RANGE) -> DataF
     files = spark.read.format("binaryFile").load(path).select("path", "length")
     n = F.greatest(F.lit(1), F.ceil(F.col("length") / F.lit(size)).cast("int"))
     rows = files.withColumn("ranges", n).withColumn("range", F.explode(F.sequence(F.lit(0), n - 1)))
-    rows = rows.repartition(F.col("path"), F.col("range"))
+    # rows of names and numbers look tiny, so the number of tasks is stated: adaptive planning would make one of them
+    tasks = files.agg(F.ceil(F.sum(n) / TASK_RANGES).cast("int")).first()[0] or 1
+    rows = rows.repartition(tasks, "path", "range")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -140,30 +145,48 @@ def boundaries(rows: DataFrame, key: str, limit: int = LIMIT, tail: int = 0) ->
     return small.select(key, "range", "skip", "size", "offset", "halo", "last")
 
 
-def split(ranges: DataFrame, key: str, keep: list[str], limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+def split(ranges: DataFrame, key: str, keep: list[str], limit: int = LIMIT, overlap: int = OVERLAP, size: int = TEXT_RANGE) -> DataFrame:
     """``keep``, piece (from 0 in each item), begin, end (offsets in the normalised item), content.
 
     Pieces have at most ``limit`` code points, end at a paragraph, sentence or word end where
     there is one in the last two thirds of the piece (else exactly at the limit), and repeat up
     to ``overlap`` code points of the piece before, from a sentence or word begin where there is
     one. Items within the limit give no rows; null texts neither. ``key`` must tell items
-    apart; rows with an equal key and range number are not supported.
+    apart; rows with an equal key and range number are not supported. ``size`` is that of the ranges.
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be smaller than limit")
-    stage = Stage(ranges.sparkSession, "pieces")
-    texts = stage.put(measured(ranges, limit))
-    rows = texts.join(boundaries(texts, key, limit, limit + overlap), [key, "range"]).withColumn("text", F.expr("substring(text, skip + 1, size)"))
+    spark = ranges.sparkSession
+    stage = Stage(spark, "pieces")
 
     @F.pandas_udf("array<struct<begin:bigint,end:bigint,content:string>>")
     def cut(text: pd.Series, halo: pd.Series, offset: pd.Series, last: pd.Series) -> pd.Series:
         return pd.Series([cut_range(t, h, o, z, limit, overlap) for t, h, o, z in zip(text, halo, offset, last)])
 
-    pieces = stage.put(rows.select(*keep, "range", cut("text", "halo", "offset", "last").alias("_pieces")))
+    with _small_batches(spark, size):
+        texts = stage.put(measured(ranges, limit))
+        rows = texts.join(boundaries(texts, key, limit, limit + overlap), [key, "range"]).withColumn("text", F.expr("substring(text, skip + 1, size)"))
+        pieces = stage.put(rows.select(*keep, "range", F.posexplode(cut("text", "halo", "offset", "last")).alias("_i", "_p")).select(*keep, "range", "_i", "_p.begin", "_p.end", "_p.content"))
     order = Window.partitionBy(key).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    done = pieces.select(key, "range", F.size("_pieces").alias("_k")).select(key, "range", F.coalesce(F.sum("_k").over(order), F.lit(0)).alias("_done"))
-    rows = pieces.join(done, [key, "range"]).select(*keep, "_done", F.posexplode("_pieces").alias("_i", "_p"))
-    return rows.select(*keep, (F.col("_done") + F.col("_i")).alias("piece"), "_p.begin", "_p.end", "_p.content")
+    sizes = pieces.groupBy(key, "range").agg(F.count(F.lit(1)).alias("_k"))
+    done = sizes.select(key, "range", F.coalesce(F.sum("_k").over(order), F.lit(0)).alias("_done"))
+    rows = pieces.join(done, [key, "range"])
+    return rows.select(*keep, (F.col("_done") + F.col("_i")).alias("piece"), "begin", "end", "content")
+
+
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession, size: int) -> Iterator[None]:
+    """While tables are written: batches of about 32 MiB for rows of ``size`` characters, between Spark's reader and Python too."""
+    rows = str(max(16, min(2000, (1 << 25) // size)))
+    names = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"]
+    held = {n: spark.conf.get(n) for n in names}
+    try:
+        for n in names:
+            spark.conf.set(n, rows)
+        yield
+    finally:
+        for n, v in held.items():
+            spark.conf.set(n, v)
 
 
 class _Cuts:
@@ -235,7 +258,7 @@ def long_chunks(chunks: DataFrame) -> DataFrame:
 
 def document_pieces(documents: DataFrame, size: int = 4096) -> DataFrame:
     """p4_document_pieces: doc_id, piece, begin, end, content of every text over the limit, in ranges so small that most texts have several."""
-    return split(text_ranges(documents, "text", ["doc_id"], size), "doc_id", ["doc_id"])
+    return split(text_ranges(documents, "text", ["doc_id"], size), "doc_id", ["doc_id"], size=size)
 
 
 def file_pieces(documents: DataFrame, size: int = 1 << 16) -> DataFrame:
@@ -249,6 +272,6 @@ def file_pieces(documents: DataFrame, size: int = 1 << 16) -> DataFrame:
     rows = documents.where("text is not null").select(F.coalesce("source", F.lit("__null__")).alias("source"), F.col("text").alias("value"))
     rows.write.partitionBy("source").text(path)
     ranges = file_ranges(spark, f"{path}/source=*/*.txt", size)
-    rows = split(ranges, "path", ["path"])
+    rows = split(ranges, "path", ["path"], size=size)
     source, file = F.regexp_extract("path", "source=([^/]*)/", 1), F.regexp_extract("path", "part-([0-9]+)", 1).cast("int")
     return rows.select(F.url_decode(source).alias("source"), file.alias("file"), "piece", "begin", "end", "content")
