@@ -167,6 +167,7 @@ def split(ranges: DataFrame, key: str, keep: list[str], limit: int = LIMIT, over
         texts = stage.put(measured(ranges, limit))
         rows = texts.join(boundaries(texts, key, limit, limit + overlap), [key, "range"]).withColumn("text", F.expr("substring(text, skip + 1, size)"))
         pieces = stage.put(rows.select(*keep, "range", F.posexplode(cut("text", "halo", "offset", "last")).alias("_i", "_p")).select(*keep, "range", "_i", "_p.begin", "_p.end", "_p.content"))
+    stage.drop(texts)
     order = Window.partitionBy(key).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = pieces.groupBy(key, "range").agg(F.count(F.lit(1)).alias("_k"))
     done = sizes.select(key, "range", F.coalesce(F.sum("_k").over(order), F.lit(0)).alias("_done"))
