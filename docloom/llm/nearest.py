@@ -9,7 +9,9 @@ with all others of their dimension:
    to the vector more than the rest, as only that part moves high inner products;
 3. every vector goes to its SPREAD nearest partitions, as entry and as query;
 4. a partition is one task: codes of four bits are scanned by lookup tables, two codes a
-   lookup, and the best candidates are scored again with the exact vectors at hand.
+   lookup for a block of queries at once, and the best candidates are scored again with the
+   exact vectors at hand. Where a least cosine is asked for, the candidates are all whose
+   scanned score is not too low for it by what the entry lost in its code.
    Partitions far above the usual size are divided again by centres of their own; what is
    large even then is cut into tiles of queries and of entries, and every pair of tiles is a task.
 
@@ -33,8 +35,10 @@ PARTITION, SPREAD, TILE = 700, 4, 8192
 RERANK = 96
 #: Inner products over this count for the score-aware loss.
 THRESHOLD = 0.2
-#: How far a scanned score may lie below the exact one where a least cosine is asked for.
-SLACK = 0.3
+#: Queries and entries scanned at once, so that their scores and tables stay in a core's cache.
+QUERIES, ENTRIES = 64, 2048
+#: What float32 may take from a scanned score.
+ROUNDING = 1e-4
 
 _CODES, _WIDTH = 16, 2
 
@@ -106,7 +110,7 @@ class Index:
     def search(self, part: int, ids: np.ndarray, v: np.ndarray, query: np.ndarray, entry: np.ndarray, k: int, least: float | None) -> list[tuple]:
         """For each query row of a partition its best entry rows: (id, ids, cosines).
 
-        Entries whose scanned score may reach ``least`` are all scored exactly; without it the
+        Entries whose scanned score may belong to ``least`` are all scored exactly; without it the
         best RERANK are.
         """
         x = self._padded(v)
@@ -119,17 +123,15 @@ class Index:
         codes = self._encode((d - centre).reshape(len(d), m, _WIDTH), d.reshape(len(d), m, _WIDTH), self.books)
         pairs = (codes[:, 0::2] * _CODES + codes[:, 1::2]).astype(np.uint8).T.copy()  # two codes a byte
         keep = min(RERANK, len(d))
+        reach = None if least is None else self._reach(d, centre, codes, least)[:, None]
         out = []
-        for b in range(0, len(x), 256):
-            q, q_ids = x[b : b + 256], ids[b : b + 256]
-            table = np.einsum("bmw,mcw->bmc", q.reshape(len(q), m, _WIDTH), self.books)
-            table = (table[:, 0::2, :, None] + table[:, 1::2, None, :]).reshape(len(q), m // 2, _CODES * _CODES)
-            score = np.repeat(q @ centre.T, len(d), 1)
-            for j in range(m // 2):
-                score += table[:, j].take(pairs[j], axis=1)
-            score[q_ids[:, None] == d_ids[None]] = -9
+        for b in range(0, len(x), QUERIES):
+            q, q_ids = x[b : b + QUERIES], ids[b : b + QUERIES]
+            score = self._scan(q, centre, pairs)
             if least is not None:
-                rows, cols = np.nonzero(score >= least - SLACK)
+                cols, rows = np.divmod(np.flatnonzero(score >= reach), len(q))
+                other = q_ids[rows] != d_ids[cols]
+                rows, cols = rows[other], cols[other]
                 if len(rows) <= len(q) * keep:
                     exact = np.einsum("ij,ij->i", q[rows], d[cols], dtype=np.float64)
                 else:  # so many that all products at once cost less
@@ -137,6 +139,8 @@ class Index:
                 good = exact >= least
                 out += _by_row(q_ids, rows[good], d_ids[cols[good]], exact[good], k)
                 continue
+            score = score.T.copy()
+            score[q_ids[:, None] == d_ids[None]] = -9
             best = np.argpartition(-score, keep - 1, axis=1)[:, :keep] if keep < len(d) else np.tile(np.arange(len(d)), (len(q), 1))
             exact = np.einsum("bd,bkd->bk", q, d[best]).astype(np.float64)
             exact[q_ids[:, None] == d_ids[best]] = -9
@@ -148,6 +152,31 @@ class Index:
                     out.append((int(q_ids[i]), d_ids[best[i][ok]].tolist(), exact[i][ok].tolist()))
         return out
 
+    def _scan(self, q: np.ndarray, centre: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """Scanned scores, a row an entry and a column a query, so that a lookup copies one run of numbers."""
+        m = q.shape[1] // _WIDTH
+        table = np.matmul(self.books, q.reshape(len(q), m, _WIDTH).transpose(1, 2, 0))
+        table = (table[0::2, :, None] + table[1::2, None]).reshape(m // 2, _CODES * _CODES, len(q))
+        score = np.repeat(centre @ q.T, pairs.shape[1], 0)
+        found = np.empty((min(ENTRIES, len(score)), len(q)), np.float32)
+        for b in range(0, len(score), ENTRIES):
+            some = score[b : b + ENTRIES]
+            for j in range(m // 2):
+                some += np.take(table[j], pairs[j, b : b + ENTRIES], axis=0, out=found[: len(some)], mode="clip")  # no code is out of range
+        return score
+
+    def _reach(self, d: np.ndarray, centre: np.ndarray, codes: np.ndarray, least: float) -> np.ndarray:
+        """For each entry the lowest scanned score of a unit vector whose cosine with it is ``least`` or more.
+
+        With the residual's part p along the entry and t across it, a vector of cosine c scans as
+        c (1 - p) - t sqrt(1 - c^2) at least; of the c from ``least`` to 1 the lowest of these counts.
+        """
+        r = (d - centre - self.books[np.arange(codes.shape[1]), codes].reshape(d.shape)).astype(np.float64)
+        p = (r * d).sum(1)
+        t = np.sqrt(np.maximum((r * r).sum(1) - p * p, 0))
+        c = np.clip((p - 1) / np.maximum(np.hypot(1 - p, t), 1e-12), least, 1)
+        return (c * (1 - p) - t * np.sqrt(1 - c * c) - ROUNDING).astype(np.float32)
+
 
 def _by_row(q_ids, rows, found, exact, k) -> list[tuple]:
     out = []

@@ -130,6 +130,40 @@ def test_nearest_tiles(spark, monkeypatch):
     assert np.mean([len(got[k] & {*want[k]}) / 5 for k in want]) >= 0.95
 
 
+def test_nearest_least_with_poor_codes(spark, monkeypatch):
+    """Pairs far from all that centres and codebooks were fitted on: their codes say nothing of them."""
+    rng = np.random.default_rng(8)
+    centres, far = rng.normal(size=(2, 16)), rng.normal(size=(30, 16))
+    rows = [(f"v{i:04}", (centres[i % 2] + 0.02 * rng.normal(size=16)).tolist()) for i in range(3000)]
+    rows += [(f"far{i:02}{side}", (far[i] + 0.05 * rng.normal(size=16)).tolist()) for i in range(30) for side in "ab"]
+    monkeypatch.setattr(nearest, "SAMPLE", 64)
+    df = spark.createDataFrame(rows, "key string, x array<double>")
+    got = {(r.key, r.neighbour) for r in nearest.nearest(df, "key", "x", 10, 0.95).where("key like 'far%'").collect()}
+    x = np.array([r[1] for r in rows[3000:]])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(rows[3000 + i][0], rows[3000 + j][0]) for i, j in zip(*np.nonzero(x @ x.T >= 0.95)) if i != j}
+    assert len(want) >= 60 and got == want
+
+
+@pytest.mark.parametrize("least", [0.95, 0.5, -0.2])
+def test_scan_reaches_all_and_little_more(least, monkeypatch):
+    rng = np.random.default_rng(9)
+    v = (rng.normal(size=(40, 30))[np.arange(2500) % 40] + 0.5 * rng.normal(size=(2500, 30))).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    index, one, ids, kept = nearest.Index(v, 700), np.ones(len(v), bool), np.arange(len(v)), {}
+    reach, scan = index._reach, index._scan
+    monkeypatch.setattr(index, "_reach", lambda *x: kept.setdefault("reach", reach(*x)))
+    monkeypatch.setattr(index, "_scan", lambda *x: kept.setdefault("scores", []).append(scan(*x)) or kept["scores"][-1])
+    got = {(n, m) for n, near, _ in index.search(0, ids, v, one, one, len(v), least) for m in near}
+    exact = v.astype(np.float64) @ v.T.astype(np.float64)
+    np.fill_diagonal(exact, -9)
+    assert {*zip(*(x.tolist() for x in np.nonzero(exact >= least + 1e-6)))} <= got
+    assert all(exact[n, m] >= least - 1e-6 for n, m in got)
+    if least == 0.95:
+        scores = np.concatenate(kept["scores"], 1)
+        assert (scores >= kept["reach"][:, None]).sum() < (scores >= least - 0.3).sum() / 2  # 0.3 was the slack of all entries
+
+
 # --- p3 ---
 
 
